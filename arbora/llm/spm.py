@@ -39,6 +39,7 @@ class Pieces:
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
         self.raw = [p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in m.pieces]
         self.longest = max(map(len, self.ids), default=1)
+        self.low = min(self.score.values(), default=0.0) - 10.0  # of an unknown character
         self.ends = {}  # lengths of pieces by last character
         for p in self.ids:
             self.ends.setdefault(p[-1], set()).add(len(p))
@@ -76,8 +77,7 @@ class Pieces:
         Keeps the scores and backpointers of the last `longest` positions only. Whenever the live paths
         through them meet in one boundary, the pieces before it are yielded and forgotten.
         """
-        get, ends, longest, bpe = self.score.get, self.ends, self.longest, self.bpe
-        low = min(self.score.values(), default=0.0) - 10.0
+        get, ends, longest, bpe, low = self.score.get, self.ends, self.longest, self.bpe, self.low
         best, back, done = {0: 0.0}, {}, 0
         for i in range(1, len(s) + 1):
             top, frm, known = None, i - 1, False
