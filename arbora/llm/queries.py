@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, quality, secrets, sharding, spm
+from . import embeddings, langid, licenses, mixing, neardup, quality, secrets, sharding, spm
 from .common import documents
 
 
@@ -43,3 +43,21 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op2_secrets, op4_sentencepiece, op5_sharding, op6_quality, op8_minhash, op9_mixing, pipeline)}
 SQL = {"op9_mixing": mixing.SQL}
+
+
+def op1_langid(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    made = langid.identify(docs, docs.where(rest != 2))
+    return made.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op3_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_licenses(spark, sf_dir):
+    return licenses.licenses(documents(spark, sf_dir))
+
+
+QUERIES |= {f.__name__: f for f in (op1_langid, op3_embeddings, op10_licenses)}

@@ -146,10 +146,10 @@ BASE_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 p(kind, k, re) AS (VALUES ('assign', 0, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'), ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]{24,}')),
 m AS (SELECT doc_id, kind, k, re, text, regexp_extract_all(text, re) AS hits FROM d, p WHERE regexp_matches(text, re)),
-w(doc_id, kind, k, hits, i, rest, at, s, hit) AS (
+w(doc_id, kind, k, hits, i, rest, pos, s, hit) AS (
   SELECT doc_id, kind, k, hits, 0, text, 0, 0, '' FROM m
   UNION ALL
-  SELECT doc_id, kind, k, hits, i + 1, substr(rest, strpos(rest, hits[i + 1]) + len(hits[i + 1])), at + strpos(rest, hits[i + 1]) - 1 + len(hits[i + 1]), at + strpos(rest, hits[i + 1]) - 1, hits[i + 1]
+  SELECT doc_id, kind, k, hits, i + 1, substr(rest, strpos(rest, hits[i + 1]) + len(hits[i + 1])), pos + strpos(rest, hits[i + 1]) - 1 + len(hits[i + 1]), pos + strpos(rest, hits[i + 1]) - 1, hits[i + 1]
   FROM w WHERE i < len(hits)),
 f AS (SELECT doc_id, kind, k, s, s + len(hit) AS e FROM w WHERE i > 0 AND CASE kind WHEN 'access' THEN len(hit) >= 20 WHEN 'hex' THEN len(hit) >= 24
       ELSE len(regexp_extract(hit, '["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6 END)
