@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mixed, shingles, slices, small, small_batches
@@ -64,7 +64,7 @@ def sketched(df: DataFrame, text: str, doc_id: str, bands: int, rows: int, k: in
 
 
 def shingle_sets(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
-    """(rep, elements): the full shingle sets of df's rows."""
+    """(rep, elements, bits): the full shingle sets of df's rows, and the parity of each set's elements by hash modulo 512."""
     small_batches(df.sparkSession)
 
     def run(batches):
@@ -75,9 +75,19 @@ def shingle_sets(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
                 sets = shingles(texts[a:z], k)
                 flat = pa.array(np.concatenate(sets).view(np.int64), pa.int64())
                 ends = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])], pa.int32())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.ListArray.from_arrays(ends, flat)], names=["rep", "elements"])
+                odd = [np.packbits(np.bincount((x & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64).tolist() for x in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.ListArray.from_arrays(ends, flat), pa.array(odd, pa.list_(pa.int64()))], names=["rep", "elements", "bits"])
 
-    return df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).mapInArrow(run, "rep long, elements array<long>")
+    return df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).mapInArrow(run, "rep long, elements array<long>, bits array<long>")
+
+
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(rep, e, rank, odd) of each set's rarest n - ceil(percent n / 100) + 1 elements; odd is the share that no other set has."""
+    each = sets.select("rep", F.size("elements").alias("m"), F.explode("elements").alias("e"))
+    times = each.groupBy("e").agg(F.count("*").alias("times"))
+    w = Window.partitionBy("rep")
+    ranked = each.join(times, "e").withColumn("rank", F.row_number().over(w.orderBy("times", "e"))).withColumn("odd", F.sum(F.when(F.col("times") == 1, 1).otherwise(0)).over(w) / F.col("m"))
+    return ranked.where(f"rank <= m - ceil({percent}D * m / 100D - 1e-9) + 1").select("rep", "e", "rank", "odd")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 80, bands: int = 20, rows: int = 6, k: int = 5) -> DataFrame:
@@ -87,8 +97,9 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     shingle) have 100 * intersection >= percent * union. Rows of equal sets form a class; only its smallest
     doc_id goes on. Candidates share a band of a sketch; with 20 bands of 6, a pair at 0.85 is missed with
     probability 1e-4 and at 0.8 with 2e-3. A bucket isn't expanded into pairs: its members are
-    compared with one pivot in each of three rounds, on full sets; only members of one bucket that are then in
-    different components are compared pair by pair. So no candidate is skipped but those already connected.
+    compared, on full sets, with its smallest doc_id, then those not yet connected with its most central
+    member. What is then still apart in some bucket is joined on rare shingles: sets similar enough must share
+    one among each one's rarest few (prefix filter), so no candidate is skipped but those already connected.
 
     Texts without words (or null) have an empty set and link with nothing; so do rows of null doc_id, which
     are kept. Rows that repeat a doc_id and text carry the same result. An empty table gives no rows. Other columns aren't read.
@@ -101,7 +112,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     bucket = cut(keyed.join(shared.select("band"), "band"))  # only buckets of two and more
     wanted = small(bucket.select(F.col("rep").alias("_rep")).distinct())
     sets = cut(shingle_sets(df.select(doc_id, text).join(wanted, F.col(doc_id) == F.col("_rep"), "left_semi"), text, doc_id, k).dropDuplicates(["rep"]))
-    near = f"n_a * 100 >= {percent} * n_b and n_b * 100 >= {percent} * n_a"
+    edges, comp, tried = None, None, None
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) whose full sets are similar enough."""
@@ -110,33 +121,46 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
         both = F.size(F.array_intersect("ea", "eb"))
         return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("ea") + F.size("eb") - both)).select("a", "b")
 
-    edges, comp, tried = None, None, None
-    for turn in range(4):
-        if comp is None:
-            live = bucket.withColumn("comp", F.col("rep"))
-        else:
-            live = bucket.join(small(comp), bucket["rep"] == comp["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-            open_ = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            live = live.join(open_.select("band"), "band")
-        live = cut(live)
-        if turn < 3:  # one pivot per bucket: the smallest, then the smallest of the last component, then the largest
-            by = [F.struct("comp", "rep", "n"), F.struct((-F.col("comp")).alias("c"), "rep", "n"), F.struct((-F.col("rep")).alias("c"), "rep", "n")][turn]
-            pivot = live.groupBy("band").agg(F.min(by).alias("p"), F.max(F.struct("rep", "comp")).alias("q"), F.min(F.struct((-F.col("comp")).alias("c"), "rep", "comp")).alias("r"))
-            of = ["p.comp", "r.comp", "q.comp"][turn]
-            pairs = live.join(pivot.select("band", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"), F.col(of).alias("comp_b")), "band").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "comp", "b", "n_b", "comp_b")
-        else:
-            other = live.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-            pairs = live.join(other, "band").where("comp < comp_b").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), "comp", "b", "n_b", "comp_b")
-        pairs = pairs.where("comp <> comp_b").where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            continue  # the next round may still have pairs
-        found = cut(verified(pairs))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
+    def link(pairs: DataFrame) -> None:
+        """Verify new candidates (rep, n, comp, rep_b, n_b, comp_b) and extend the components."""
+        nonlocal edges, comp, tried
+        far = pairs.where(f"comp <> comp_b and n * 100 >= {percent} * n_b and n_b * 100 >= {percent} * n")
+        new = far.select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct()
+        new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return
+        hits = cut(verified(new))
+        tried = new if tried is None else tried.unionByName(new)
+        edges = hits if edges is None else edges.unionByName(hits)
         comp = cut(components(edges))
+
+    def apart() -> DataFrame:
+        """(band, rep, n, comp) of the buckets whose members are not all connected."""
+        if comp is None:
+            return bucket.withColumn("comp", F.col("rep"))
+        live = bucket.join(small(comp), bucket["rep"] == comp["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        still = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        return cut(live.join(still.select("band"), "band"))
+
+    def versus(live: DataFrame, best) -> DataFrame:
+        """Each member of a bucket beside the bucket's pivot, the least by `best`."""
+        pivot = live.groupBy("band").agg(F.min(F.struct(*best, "rep", "n", "comp")).alias("p"))
+        return live.join(pivot.select("band", F.col("p.rep").alias("rep_b"), F.col("p.n").alias("n_b"), F.col("p.comp").alias("comp_b")), "band")
+
+    link(versus(apart(), []))
+    live = apart()
+    if not live.isEmpty():
+        ranked = cut(rarest(sets.join(live.select("rep").distinct(), "rep"), percent))
+        odd = ranked.groupBy("rep").agg(F.first("odd").alias("odd"))
+        link(versus(live.join(odd, "rep"), ["odd"]))
+        live = apart().select("rep", "n", "comp").distinct()
+        prefix = cut(ranked.join(live, "rep").join(sets.select("rep", "bits"), "rep").select("rep", "n", "comp", "e", "rank", "bits"))
+        # Of two similar sets, the smaller shares one of its rarest n - ceil(2p/(100+p) n) + 1 shingles. The first one
+        # shared leaves enough after it in both, and the sets differ in no more elements than their parities do.
+        index = prefix.where(f"rank <= n - ceil({2 * percent}D * n / {100 + percent}D - 1e-9) + 1").select("e", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp", "rank", "bits")])
+        common = f"ceil({percent}D * (n + n_b) / {100 + percent}D - 1e-9)"
+        differ = " + ".join(f"bit_count(bits[{i}] ^ bits_b[{i}])" for i in range(8))
+        link(prefix.join(index, "e").where(f"comp <> comp_b and struct(n_b, rep_b) < struct(n, rep) and n_b * 100 >= {percent} * n and 1 + least(n - rank, n_b - rank_b) >= {common} and {differ} <= n + n_b - 2 * {common}").select("rep", "n", "comp", "rep_b", "n_b", "comp_b"))
     if comp is None:
         comp = df.sparkSession.createDataFrame([], "node long, component long")
     ids = reps.join(small(comp), F.col("rep") == F.col("node"), "left").select("h1", "h2", F.col("n_shingles").alias("n_"), F.coalesce("component", "rep").alias("c"))
