@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, mixing, neardup, quality, secrets, sharding, spm
+from . import embeddings, langid, licenses, mixing, neardup, quality, secrets, sharding, spm, suffixtree
 from .common import documents
 
 
@@ -61,3 +61,13 @@ def op10_licenses(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (op1_langid, op3_embeddings, op10_licenses)}
+
+
+def op7_suffixtree(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    made = suffixtree.score(docs, docs.where(rest != 2))
+    return made.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op7_suffixtree"] = op7_suffixtree
