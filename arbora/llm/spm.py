@@ -24,7 +24,7 @@ class Pieces:
     become byte pieces, or the unknown piece in models without bytes.
     """
 
-    def __init__(self, model: bytes, memory: int = 400_000):
+    def __init__(self, model: bytes, memory: int = 600_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -40,12 +40,13 @@ class Pieces:
         self.raw = [p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in m.pieces]
         self.longest = max(map(len, self.ids), default=1)
         self.low = min(self.score.values(), default=0.0) - 10.0  # of an unknown character
-        self.ends = {}  # lengths of pieces by last character
-        for p in self.ids:
-            self.ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(n) for c, n in self.ends.items()}
+        #: By prefix of a piece: its id + 1 where it is a piece (in BPE one that the merges make), else 0.
+        self.heads = {p[:i]: 0 for p in self.ids for i in range(1, len(p) + 1)}
+        self.heads |= {p: i + 1 for p, i in self.ids.items() if not self.bpe or self.merged(p) == [p]}
         #: No piece holds a space mark after another character: all paths meet before each run of marks.
         self.split = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
+        #: Neighbouring characters inside pieces: all paths meet between any two others.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pairs, self.known, self.memory = {}, {}, memory
 
     def merged(self, s: str) -> list[str]:
@@ -62,80 +63,105 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def joined(self, a: str, b: str) -> bool:
-        key = (a, b)
-        ok = self.pairs.get(key)
-        if ok is None:
-            if len(self.pairs) >= self.memory:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merged(a + b) == [a, b]
+    def joined(self, a: int, b: int) -> bool:
+        """Whether the merge order makes pieces a, b of their concatenation."""
+        if len(self.pairs) >= self.memory:
+            self.pairs.clear()
+        x, y = self.pieces[a], self.pieces[b]
+        ok = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return ok
 
+    def extend(self, s: str, j: int, ids: dict, back: dict, best: dict) -> None:
+        """Forward step of the search: offer all pieces that start at j to the positions where they end."""
+        heads, pairs, bpe, last = self.heads, self.pairs, self.bpe, ids.get(j, -1)
+        for i in range(j + 1, min(len(s), j + self.longest) + 1):
+            known = heads.get(s[j:i])
+            if known is None:
+                break
+            if not known:
+                continue
+            known -= 1
+            if bpe:
+                if i in ids:
+                    continue
+                if last >= 0:
+                    ok = pairs.get(last << 32 | known)
+                    if ok is None:
+                        ok = self.joined(last, known)
+                    if not ok:
+                        continue
+                ids[i], back[i] = known, j
+            else:
+                x = best[j] + self.score[self.pieces[known]]
+                if i not in ids or x > best[i] or ids[i] < 0:
+                    ids[i], back[i], best[i] = known, j, x
+        if j + 1 not in ids:  # a character that no piece reaches is unknown
+            ids[j + 1], back[j + 1] = -1, j
+            if not bpe:
+                best[j + 1] = best[j] + self.low
+
     def commits(self, s: str):
-        """Streaming Viterbi over s: yields (start, end, known) of its pieces as soon as they are certain.
+        """Streaming Viterbi over s: yields (start, end, id) of its pieces as soon as they are certain; id -1 is unknown.
 
-        Keeps the scores and backpointers of the last `longest` positions only. Whenever the live paths
-        through them meet in one boundary, the pieces before it are yielded and forgotten.
+        Keeps the scores and backpointers of the last positions only, at most `longest` behind a boundary. Whenever the
+        live paths through them meet in one boundary, the pieces before it are yielded and forgotten.
         """
-        get, ends, longest, bpe, low = self.score.get, self.ends, self.longest, self.bpe, self.low
-        best, back, done = {0: 0.0}, {}, 0
-        for i in range(1, len(s) + 1):
-            top, frm, known = None, i - 1, False
-            for n in ends.get(s[i - 1], ()):
-                j = i - n
-                if j < done:
-                    break
-                piece = s[j:i]
-                x = get(piece)
-                if x is None or j not in best:
-                    continue
-                if bpe:
-                    if n > 1 and not self.single(piece):
-                        continue
-                    if j == 0 or not back[j][1] or self.joined(s[back[j][0] : j], piece):
-                        top, frm, known = 0.0, j, True
-                        break
-                elif top is None or best[j] + x > top:
-                    top, frm, known = best[j] + x, j, True
-            if top is None:
-                top = best[i - 1] + (0.0 if bpe else low)
-            best[i], back[i] = top, (frm, known)
-            if i - done > 2 * longest:
-                alive, certain = set(range(i - longest + 1, i + 1)), i
+        longest, done, size = self.longest, 0, len(s)
+        ids, back, best = {}, {}, {0: 0.0}
+        for j in range(size):
+            self.extend(s, j, ids, back, best)
+            if j - done > 2 * longest:
+                alive = set(range(j + 1, min(size, j + longest) + 1)) & ids.keys()
                 while len(alive) > 1:  # walk the latest of the live positions back until all have met
                     p = max(alive)
                     alive.discard(p)
-                    alive.add(max(back[p][0], done))
-                certain = alive.pop()
-                if certain > done:
-                    yield from self.walk(back, certain, done)
-                    for p in range(done + 1, certain):
-                        best.pop(p), back.pop(p)
-                    best.pop(done, None)
-                    done = certain
-        yield from self.walk(back, len(s), done)
-
-    def single(self, piece: str) -> bool:
-        """Whether the merge order makes one piece of it (BPE)."""
-        ok = self.pairs.get(piece)
-        if ok is None:
-            ok = self.pairs[piece] = self.merged(piece) == [piece]
-        return ok
+                    alive.add(max(back[p], done))
+                meet = alive.pop()
+                if meet > done:
+                    yield from self.walk(ids, back, meet, done)
+                    for p in range(done, meet):
+                        for held in (best, ids, back):
+                            held.pop(p, None)
+                    done = meet
+        yield from self.walk(ids, back, size, done)
+
+    def short(self, s: str) -> list:
+        """The same search where the whole of s is within the window (BPE)."""
+        heads, pairs, n = self.heads.get, self.pairs.get, len(s)
+        ids, back = [-2] * (n + 1), [0] * (n + 1)
+        last = -1
+        for j in range(n):
+            for i in range(j + 1, n + 1):
+                known = heads(s[j:i])
+                if known is None:
+                    break
+                if known and ids[i] == -2:
+                    known -= 1
+                    if last >= 0:
+                        ok = pairs(last << 32 | known)
+                        if ok is None:
+                            ok = self.joined(last, known)
+                        if not ok:
+                            continue
+                    ids[i], back[i] = known, j
+            if ids[j + 1] == -2:
+                ids[j + 1], back[j + 1] = -1, j
+            last = ids[j + 1]
+        return self.walk(ids, back, n, 0)
 
     @staticmethod
-    def walk(back: dict, i: int, done: int) -> list:
+    def walk(ids: dict, back: dict, i: int, done: int) -> list:
         out = []
         while i > done:
-            j, known = back[i]
-            out.append((j, i, known))
-            i = j
+            out.append((back[i], i, ids[i]))
+            i = back[i]
         return out[::-1]
 
     def segment(self, s: str) -> list[int]:
         out = []
-        for a, b, known in self.commits(s):
-            if known:
-                out.append(self.ids[s[a:b]])
+        for a, b, i in self.short(s) if self.bpe and len(s) <= 2 * self.longest else self.commits(s):
+            if i >= 0:
+                out.append(i)
             elif self.bytes:
                 out += [self.bytes[x] for x in s[a:b].encode("utf-8", "replace")]
             elif not out or out[-1] != self.unknown:
@@ -151,13 +177,26 @@ class Pieces:
         out, known = [], self.known
         for run in _RUNS.findall(s):
             ids = known.get(run)
-            if ids is None:
-                ids = self.segment(run)
-                if len(run) <= 48:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    known[run] = ids
-            out += ids
+            out += self.run(run) if ids is None else ids
+        return out
+
+    def run(self, run: str) -> list[int]:
+        """The ids of a run of text with marks at its start only: its parts between sure boundaries, remembered if short."""
+        inside, known, out, a = self.inside, self.known, [], 0
+        for i in range(1, len(run) + 1):
+            if i == len(run) or run[i - 1 : i + 1] not in inside and self.bytes:
+                part = run[a:i]
+                ids = known.get(part)
+                if ids is None:
+                    ids = self.segment(part)
+                    if i - a <= 48:
+                        if len(known) >= self.memory:
+                            known.clear()
+                        known[part] = ids
+                out += ids
+                a = i
+        if len(run) <= 48:
+            known[run] = out
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -216,7 +255,9 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "text
     def run(batches):
         pieces = _pieces(body.value)
         for b in batches:
-            texts = pa.array([None if x is None else pieces.decode(x) for x in b.column(len(names)).to_pylist()], pa.string())
+            lists = b.column(len(names))
+            flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
+            texts = pa.array([pieces.decode(flat[ends[i] : ends[i + 1]]) if ok else None for i, ok in enumerate(lists.is_valid().to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*names, "text"])
 
     made = given.mapInArrow(run, ", ".join([f"{x} {types[x]}" for x in names] + ["text string"]))
