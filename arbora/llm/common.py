@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
+import types
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which the planner is told to broadcast a side whose rows are narrow (under 100 bytes each).
 BROADCAST_ROWS = 200_000
 #: UTF-8 bytes of text that a Python task holds in work arrays at once (one longer text is a slice of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -40,6 +44,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def held(name: str) -> dict:
+    """A dict that lives as long as the Python worker: functions sent by value get new globals for every task."""
+    return sys.modules.setdefault(f"_arbora_{name}", types.ModuleType(name)).__dict__
+
+
+def released(batches):
+    """The batches of a task; at its end the worker gives free memory back, as it lives on beside the next stage's."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lower_ascii(col):
     return F.translate(col, UPPER, UPPER.lower())
 

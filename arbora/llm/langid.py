@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import held, slices, small_batches
 
 #: Code points parsed as one run; a phrase doesn't cross from one block into the next.
 BLOCK = 512
@@ -96,9 +96,6 @@ class Model:
         return out
 
 
-_columns: dict = {}
-
-
 def predict(texts: list[str], model: Model, columns: np.ndarray) -> list[tuple[str, float]]:
     """(language, score) of each text; ("und", 0.0) where a text has no letter."""
     rows, owner, chars, i = [], [], np.zeros(len(texts)), 0
@@ -176,15 +173,14 @@ def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "l
 
     def run(batches):
         m = model.value
-        key = tuple(m.code)
-        if key not in _columns:
-            _columns.clear()
-            _columns[key] = m.codes()
+        cache = held("columns")
+        if cache.get("code") != m.code:
+            cache |= {"code": m.code, "columns": m.codes()}
         for b in batches:
             texts = [t or "" for t in b.column(len(names)).to_pylist()]
             got = []
             for a, z in slices(texts, 1 << 20):
-                got += predict(texts[a:z], m, _columns[key])
+                got += predict(texts[a:z], m, cache["columns"])
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
     made = given.mapInArrow(run, ", ".join([f"{x} {types[x]}" for x in names] + ["lang_pred string, score double"]))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, shingles, slices, small, small_batches
+from .common import cut, mixed, released, shingles, slices, small, small_batches
 from .components import components
 
 _seeds = np.random.default_rng(97).integers(1, 2**63, 4096, dtype=np.uint64)
@@ -60,7 +60,7 @@ def sketched(df: DataFrame, text: str, doc_id: str, bands: int, rows: int, k: in
                 keys += [next(made) if len(s) else [] for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, h1 long, h2 long, bands array<long>")
+    return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda batches: released(run(batches)), f"doc_id {kind}, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def shingle_sets(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
@@ -78,7 +78,7 @@ def shingle_sets(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
                 odd = [np.packbits(np.bincount((x & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(np.int64).tolist() for x in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), pa.ListArray.from_arrays(ends, flat), pa.array(odd, pa.list_(pa.int64()))], names=["rep", "elements", "bits"])
 
-    return df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).mapInArrow(run, "rep long, elements array<long>, bits array<long>")
+    return df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).mapInArrow(lambda batches: released(run(batches)), "rep long, elements array<long>, bits array<long>")
 
 
 def rarest(sets: DataFrame, percent: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, small_batches
+from .common import cut, released, small, small_batches
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Transformed statistics: log words, mean word length, symbols, digits, repeated lines, repeated windows, distinct words.
@@ -73,7 +73,7 @@ def with_statistics(df: DataFrame, text: str = "text", keep: list[str] | None =
             cols += [pa.array([g[1][i] for g in got], pa.float64()) for i in range(P)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *COUNTS, *FEATURES])
 
-    out = given.mapInArrow(run, schema)
+    out = given.mapInArrow(lambda batches: released(run(batches)), schema)
     return out.select(*[F.col(x).alias(c) for c, x in zip(keep, names, strict=True)], *COUNTS, *FEATURES)
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import held, released, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -24,7 +24,7 @@ class Pieces:
     become byte pieces, or the unknown piece in models without bytes.
     """
 
-    def __init__(self, model: bytes, memory: int = 600_000):
+    def __init__(self, model: bytes, memory: int = 300_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -47,7 +47,7 @@ class Pieces:
         self.split = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         #: Neighbouring characters inside pieces: all paths meet between any two others.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.pairs, self.known, self.memory = {}, {}, memory
+        self.pairs, self.known, self.old, self.memory = {}, {}, {}, memory
 
     def merged(self, s: str) -> list[str]:
         """The merge order's pieces of s: the best-scored neighbours first, the leftmost on ties."""
@@ -68,7 +68,7 @@ class Pieces:
         if len(self.pairs) >= self.memory:
             self.pairs.clear()
         x, y = self.pieces[a], self.pieces[b]
-        ok = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
+        ok = self.pairs[a << 32 | b] = not self.heads.get(x + y) and self.merged(x + y) == [x, y]
         return ok
 
     def extend(self, s: str, j: int, ids: dict, back: dict, best: dict) -> None:
@@ -125,8 +125,8 @@ class Pieces:
                     done = meet
         yield from self.walk(ids, back, size, done)
 
-    def short(self, s: str) -> list:
-        """The same search where the whole of s is within the window (BPE)."""
+    def short(self, s: str) -> list[int] | None:
+        """The ids of s by the same search where all of s is within the window (BPE); None if a character is unknown."""
         heads, pairs, n = self.heads.get, self.pairs.get, len(s)
         ids, back = [-2] * (n + 1), [0] * (n + 1)
         last = -1
@@ -144,10 +144,15 @@ class Pieces:
                         if not ok:
                             continue
                     ids[i], back[i] = known, j
-            if ids[j + 1] == -2:
-                ids[j + 1], back[j + 1] = -1, j
             last = ids[j + 1]
-        return self.walk(ids, back, n, 0)
+            if last == -2:
+                return None
+        out = []
+        while n:
+            out.append(ids[n])
+            n = back[n]
+        out.reverse()
+        return out
 
     @staticmethod
     def walk(ids: dict, back: dict, i: int, done: int) -> list:
@@ -158,8 +163,13 @@ class Pieces:
         return out[::-1]
 
     def segment(self, s: str) -> list[int]:
+        if self.bpe and len(s) <= 2 * self.longest:
+            whole = self.heads.get(s)
+            out = [whole - 1] if whole else self.short(s)
+            if out is not None:
+                return out
         out = []
-        for a, b, i in self.short(s) if self.bpe and len(s) <= 2 * self.longest else self.commits(s):
+        for a, b, i in self.commits(s):
             if i >= 0:
                 out.append(i)
             elif self.bytes:
@@ -174,30 +184,44 @@ class Pieces:
         s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         if not self.split:
             return self.segment(s)
-        out, known = [], self.known
+        out = []
         for run in _RUNS.findall(s):
-            ids = known.get(run)
+            ids = self.known.get(run)
             out += self.run(run) if ids is None else ids
         return out
 
-    def run(self, run: str) -> list[int]:
-        """The ids of a run of text with marks at its start only: its parts between sure boundaries, remembered if short."""
-        inside, known, out, a = self.inside, self.known, [], 0
+    def recall(self, part: str) -> tuple | None:
+        """The ids of a part seen before; what the older half of the memory holds moves to the newer."""
+        ids = self.known.get(part)
+        if ids is None and part in self.old:
+            ids = self.old[part]
+            self.remember(part, ids)
+        return ids
+
+    def remember(self, part: str, ids: tuple) -> None:
+        if len(part) <= 48:
+            if len(self.known) >= self.memory:
+                self.old, self.known = self.known, {}
+            self.known[part] = ids
+
+    def run(self, run: str) -> tuple:
+        """The ids of a run of text with marks at its start only, by its parts between sure boundaries."""
+        ids = self.recall(run)
+        if ids is not None:
+            return ids
+        inside, out, a = self.inside, [], 0
         for i in range(1, len(run) + 1):
             if i == len(run) or run[i - 1 : i + 1] not in inside and self.bytes:
                 part = run[a:i]
-                ids = known.get(part)
+                ids = self.recall(part)
                 if ids is None:
-                    ids = self.segment(part)
-                    if i - a <= 48:
-                        if len(known) >= self.memory:
-                            known.clear()
-                        known[part] = ids
+                    ids = tuple(self.segment(part))  # tuples of numbers cost the garbage collector nothing
+                    self.remember(part, ids)
                 out += ids
                 a = i
-        if len(run) <= 48:
-            known[run] = out
-        return out
+        ids = tuple(out)
+        self.remember(run, ids)
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
@@ -210,14 +234,12 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-_loaded: dict = {}
-
-
 def _pieces(model: bytes) -> Pieces:
-    key = hash(model)
-    if key not in _loaded:
-        _loaded[key] = Pieces(model)
-    return _loaded[key]
+    """The model as this worker holds it, with what it remembers; one model at a time."""
+    loaded = held("pieces")
+    if loaded.get("model") != model:
+        loaded |= {"model": model, "pieces": Pieces(model)}
+    return loaded["pieces"]
 
 
 def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "ids") -> DataFrame:
@@ -239,7 +261,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "id
             ids = pa.array([None if t is None else pieces.encode(t) for t in b.column(len(names)).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*names, "ids"])
 
-    made = given.mapInArrow(run, ", ".join([f"{x} {types[x]}" for x in names] + ["ids array<int>"]))
+    made = given.mapInArrow(lambda batches: released(run(batches)), ", ".join([f"{x} {types[x]}" for x in names] + ["ids array<int>"]))
     return made.select(*[F.col(x).alias(c) for c, x in zip(keep, names, strict=True)], F.col("ids").alias(out))
 
 
@@ -260,5 +282,5 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "text
             texts = pa.array([pieces.decode(flat[ends[i] : ends[i + 1]]) if ok else None for i, ok in enumerate(lists.is_valid().to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*names, "text"])
 
-    made = given.mapInArrow(run, ", ".join([f"{x} {types[x]}" for x in names] + ["text string"]))
+    made = given.mapInArrow(lambda batches: released(run(batches)), ", ".join([f"{x} {types[x]}" for x in names] + ["text string"]))
     return made.select(*[F.col(x).alias(c) for c, x in zip(keep, names, strict=True)], F.col("text").alias(out))

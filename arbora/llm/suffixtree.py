@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small_batches
+from .common import cut, released, slices, small_batches
 
 #: Longest context, in symbols. Symbols: 0 before the text, 1 + byte, END after it; BITS bits each in a packed gram.
 DEPTH, END, BITS = 4, 257, 9
@@ -80,7 +80,7 @@ def counts(df: DataFrame, text: str) -> DataFrame:
         if held:
             yield batch([None] * len(held), list(held), list(held.values()))
 
-    return df.select(F.col(text).alias("text")).mapInArrow(run, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
+    return df.select(F.col(text).alias("text")).mapInArrow(lambda batches: released(run(batches)), "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
 def retained(gram_counts: DataFrame, share: float, least: int) -> DataFrame:
