@@ -24,7 +24,7 @@ class Pieces:
     become byte pieces, or the unknown piece in models without bytes.
     """
 
-    def __init__(self, model: bytes, memory: int = 300_000):
+    def __init__(self, model: bytes, memory: int = 60_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
