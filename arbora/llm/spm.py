@@ -12,6 +12,8 @@ from .common import held, released, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Scores at which whole pieces are used up and single characters are made.
+NEVER, FIRST = float("-inf"), float("inf")
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -24,7 +26,7 @@ class Pieces:
     become byte pieces, or the unknown piece in models without bytes.
     """
 
-    def __init__(self, model: bytes, memory: int = 60_000):
+    def __init__(self, model: bytes, memory: int = 120_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -32,6 +34,7 @@ class Pieces:
         self.bpe = m.trainer_spec.model_type == 2
         self.prefix = m.normalizer_spec.add_dummy_prefix
         self.pieces = [p.piece for p in m.pieces]
+        self.size = len(self.pieces)
         usable = [(i, p) for i, p in enumerate(m.pieces) if p.type in (1, 4)]
         self.ids = {p.piece: i for i, p in usable}
         self.score = {p.piece: p.score for i, p in usable}
@@ -42,15 +45,35 @@ class Pieces:
         self.low = min(self.score.values(), default=0.0) - 10.0  # of an unknown character
         #: By prefix of a piece: its id + 1 where it is a piece (in BPE one that the merges make), else 0.
         self.heads = {p[:i]: 0 for p in self.ids for i in range(1, len(p) + 1)}
-        self.heads |= {p: i + 1 for p, i in self.ids.items() if not self.bpe or self.merged(p) == [p]}
+        #: In BPE, the two pieces of the last merge that makes a piece, and the score at which it is made.
+        self.halves, self.made = {}, {}
+        for p, i in self.ids.items():
+            if self.bpe and len(p) > 1:
+                self.merged(p, last := [])
+                if last and len(last[0] + last[1]) == len(p):
+                    self.halves[p], self.made[p] = tuple(last), self.score[p]
+            if not self.bpe or len(p) == 1 or p in self.halves:
+                self.heads[p] = i + 1
+        #: Pieces with a merge in them that scores no worse than one before it.
+        self.uneven = set()
+        for p in sorted(self.halves, key=len):
+            if any(h in self.uneven or self.made.get(h, FIRST) <= self.made[p] for h in self.halves[p]):
+                self.uneven.add(p)
+        #: The same as a tree: by character, the id (-1 for none; its ints are shared by all results) and what may follow.
+        self.tree = {}
+        for p, known in self.heads.items():
+            node = self.tree
+            for c in p[:-1]:
+                node = node[c][1]
+            node[p[-1]] = known - 1, {}
         #: No piece holds a space mark after another character: all paths meet before each run of marks.
         self.split = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
         #: Neighbouring characters inside pieces: all paths meet between any two others.
         self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pairs, self.known, self.old, self.memory = {}, {}, {}, memory
 
-    def merged(self, s: str) -> list[str]:
-        """The merge order's pieces of s: the best-scored neighbours first, the leftmost on ties."""
+    def merged(self, s: str, last: list | None = None) -> list[str]:
+        """The merge order's pieces of s: the best-scored neighbours first, the leftmost on ties; `last` takes the last two merged."""
         parts, score = list(s), self.score
         while len(parts) > 1:
             best, at = None, -1
@@ -60,17 +83,40 @@ class Pieces:
                     best, at = x, i
             if at < 0:
                 break
+            if last is not None:
+                last[:] = parts[at : at + 2]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
     def joined(self, a: int, b: int) -> bool:
         """Whether the merge order makes pieces a, b of their concatenation."""
-        if len(self.pairs) >= self.memory:
+        if len(self.pairs) >= 2 * self.memory:
             self.pairs.clear()
         x, y = self.pieces[a], self.pieces[b]
-        ok = self.pairs[a << 32 | b] = not self.heads.get(x + y) and self.merged(x + y) == [x, y]
+        even = x not in self.uneven and y not in self.uneven
+        ok = self.pairs[a * self.size + b] = self.apart(x, y) if even else self.merged(x + y) == [x, y]
         return ok
 
+    def apart(self, x: str, y: str) -> bool:
+        """Whether no merge crosses from x to y, by undoing their merges from the last one back (both even).
+
+        Visits all pairs of neighbours that existed together while x and y were made. A pair merges if that scores better
+        than the merges that took its members away; where equal, the leftmost merge is first.
+        """
+        score, made, halves = self.score.get, self.made.get, self.halves
+        left = right = NEVER  # the scores at which x and y were used up
+        while True:
+            both = score(x + y)
+            if both is not None and both > left and both >= right:
+                return False
+            at_x, at_y = made(x, FIRST), made(y, FIRST)
+            if at_x < at_y:
+                x, left = halves[x][1], at_x
+            elif at_y < FIRST:
+                y, right = halves[y][0], at_y
+            else:
+                return True
+
     def extend(self, s: str, j: int, ids: dict, back: dict, best: dict) -> None:
         """Forward step of the search: offer all pieces that start at j to the positions where they end."""
         heads, pairs, bpe, last = self.heads, self.pairs, self.bpe, ids.get(j, -1)
@@ -85,7 +131,7 @@ class Pieces:
                 if i in ids:
                     continue
                 if last >= 0:
-                    ok = pairs.get(last << 32 | known)
+                    ok = pairs.get(last * self.size + known)
                     if ok is None:
                         ok = self.joined(last, known)
                     if not ok:
@@ -127,23 +173,24 @@ class Pieces:
 
     def short(self, s: str) -> list[int] | None:
         """The ids of s by the same search where all of s is within the window (BPE); None if a character is unknown."""
-        heads, pairs, n = self.heads.get, self.pairs.get, len(s)
+        tree, pairs, size, n = self.tree, self.pairs.get, self.size, len(s)
         ids, back = [-2] * (n + 1), [0] * (n + 1)
         last = -1
         for j in range(n):
-            for i in range(j + 1, n + 1):
-                known = heads(s[j:i])
-                if known is None:
+            node, row = tree, last * size
+            for i in range(j, n):
+                step = node.get(s[i])
+                if step is None:
                     break
-                if known and ids[i] == -2:
-                    known -= 1
+                known, node = step
+                if known >= 0 and ids[i + 1] == -2:
                     if last >= 0:
-                        ok = pairs(last << 32 | known)
+                        ok = pairs(row + known)
                         if ok is None:
                             ok = self.joined(last, known)
                         if not ok:
                             continue
-                    ids[i], back[i] = known, j
+                    ids[i + 1], back[i + 1] = known, j
             last = ids[j + 1]
             if last == -2:
                 return None
@@ -209,13 +256,20 @@ class Pieces:
         ids = self.recall(run)
         if ids is not None:
             return ids
+        if self.bpe and len(run) <= self.longest:  # the window holds all of it
+            ids = self.heads.get(run)
+            ids = [ids - 1] if ids else self.short(run)
+            if ids is not None:
+                ids = tuple(ids)  # tuples of numbers cost the garbage collector nothing
+                self.remember(run, ids)
+                return ids
         inside, out, a = self.inside, [], 0
         for i in range(1, len(run) + 1):
             if i == len(run) or run[i - 1 : i + 1] not in inside and self.bytes:
                 part = run[a:i]
                 ids = self.recall(part)
                 if ids is None:
-                    ids = tuple(self.segment(part))  # tuples of numbers cost the garbage collector nothing
+                    ids = tuple(self.segment(part))
                     self.remember(part, ids)
                 out += ids
                 a = i

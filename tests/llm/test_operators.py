@@ -218,3 +218,17 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out.select("doc_id").collect()} <= left
     p = spm.Pieces(spm.read_model(spm.MODEL))
     assert all(list(r.ids) == p.encode(r.text) for r in out.limit(50).collect())
+
+
+def test_sentencepiece_pairs_stay_apart_as_the_merges_leave_them():
+    pieces, r = spm.Pieces(spm.read_model(spm.MODEL)), random.Random(7)
+    whole = [p for p, i in pieces.ids.items() if pieces.heads[p] == i + 1]
+    starts = {}
+    for p in whole:
+        starts.setdefault(p[0], []).append(p)
+    for _ in range(20_000):
+        x, y = r.choice(whole), r.choice(whole)
+        if r.random() < 0.5:  # a piece that begins as a longer one goes on
+            longer = r.choice(starts[x[0]])
+            y = r.choice(starts.get(longer[len(x) : len(x) + 1], whole))
+        assert pieces.joined(pieces.ids[x], pieces.ids[y]) == (pieces.merged(x + y) == [x, y]), (x, y)
