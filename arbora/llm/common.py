@@ -50,12 +50,14 @@ def held(name: str) -> dict:
 
 
 def released(batches):
-    """The batches of a task; at its end the worker gives free memory back, as it lives on beside the next stage's."""
-    yield from batches
-    pa.default_memory_pool().release_unused()
+    """The batches of a task; after each one the worker gives free memory back, as workers live on beside the next stage's."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
 
 
 def lower_ascii(col):

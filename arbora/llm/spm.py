@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -226,18 +227,26 @@ class Pieces:
         return out
 
     def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers, which hold far less memory than Python's."""
         if not text:
-            return []
+            return b""
         s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         if not self.split:
-            return self.segment(s)
-        out = []
-        for run in _RUNS.findall(s):
-            ids = self.known.get(run)
-            out += self.run(run) if ids is None else ids
-        return out
-
-    def recall(self, part: str) -> tuple | None:
+            return array("i", self.segment(s)).tobytes()
+        out, known = [], self.known.get
+        for run in _RUNS.finditer(s):
+            run = run[0]
+            ids = known(run)
+            if ids is None:
+                ids = self.run(run)
+                known = self.known.get  # a full memory is replaced
+            out.append(ids)
+        return b"".join(out)
+
+    def recall(self, part: str) -> bytes | None:
         """The ids of a part seen before; what the older half of the memory holds moves to the newer."""
         ids = self.known.get(part)
         if ids is None and part in self.old:
@@ -245,14 +254,14 @@ class Pieces:
             self.remember(part, ids)
         return ids
 
-    def remember(self, part: str, ids: tuple) -> None:
+    def remember(self, part: str, ids: bytes) -> None:
         if len(part) <= 48:
             if len(self.known) >= self.memory:
                 self.old, self.known = self.known, {}
             self.known[part] = ids
 
-    def run(self, run: str) -> tuple:
-        """The ids of a run of text with marks at its start only, by its parts between sure boundaries."""
+    def run(self, run: str) -> bytes:
+        """The packed ids of a run of text with marks at its start only, by its parts between sure boundaries."""
         ids = self.recall(run)
         if ids is not None:
             return ids
@@ -260,7 +269,7 @@ class Pieces:
             ids = self.heads.get(run)
             ids = [ids - 1] if ids else self.short(run)
             if ids is not None:
-                ids = tuple(ids)  # tuples of numbers cost the garbage collector nothing
+                ids = array("i", ids).tobytes()
                 self.remember(run, ids)
                 return ids
         inside, out, a = self.inside, [], 0
@@ -269,11 +278,11 @@ class Pieces:
                 part = run[a:i]
                 ids = self.recall(part)
                 if ids is None:
-                    ids = tuple(self.segment(part))
+                    ids = array("i", self.segment(part)).tobytes()
                     self.remember(part, ids)
-                out += ids
+                out.append(ids)
                 a = i
-        ids = tuple(out)
+        ids = b"".join(out)
         self.remember(run, ids)
         return ids
 
@@ -296,6 +305,19 @@ def _pieces(model: bytes) -> Pieces:
     return loaded["pieces"]
 
 
+def lists(pieces: Pieces, texts: pa.Array) -> pa.Array:
+    """The ids of an Arrow array of texts as lists; null for null."""
+    made, ends, end = [], [], 0
+    for t in texts:
+        t = t.as_py()
+        ends.append(None if t is None else end)
+        if t is not None:
+            made.append(ids := pieces.packed(t))
+            end += len(ids) // 4
+    values = pa.Array.from_buffers(pa.int32(), end, [None, pa.py_buffer(b"".join(made))])
+    return pa.ListArray.from_arrays(pa.array([*ends, end], pa.int32()), values)
+
+
 def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "ids") -> DataFrame:
     """df and `out` (array<int>): each text's ids. Null texts give null, empty ones no ids; a column named `out` is replaced.
 
@@ -306,14 +328,14 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "id
     body = df.sparkSession.sparkContext.broadcast(read_model(model))
     keep = [c for c in df.columns if c != out]
     names = [f"c{i}" for i in range(len(keep))]
-    given = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, names, strict=True)], F.col(f"`{text}`").alias("body"))
+    at = keep.index(text) if text in keep else len(keep)  # a text that is returned is sent once
+    given = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, names, strict=True)], *[F.col(f"`{text}`").alias("body")][: at == len(keep)])
     types = dict(given.dtypes)
 
     def run(batches):
         pieces = _pieces(body.value)
         for b in batches:
-            ids = pa.array([None if t is None else pieces.encode(t) for t in b.column(len(names)).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], lists(pieces, b.column(at))], names=[*names, "ids"])
 
     made = given.mapInArrow(lambda batches: released(run(batches)), ", ".join([f"{x} {types[x]}" for x in names] + ["ids array<int>"]))
     return made.select(*[F.col(x).alias(c) for c, x in zip(keep, names, strict=True)], F.col("ids").alias(out))
