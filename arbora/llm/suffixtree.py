@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from .common import cut, released, slices, small_batches
 
 #: Longest context, in symbols. Symbols: 0 before the text, 1 + byte, END after it; BITS bits each in a packed gram.
-DEPTH, END, BITS = 4, 257, 9
+DEPTH, END, BITS = 5, 257, 9
 SYMBOLS = 258
-#: Symbols scored as one lane; a lane reads DEPTH symbols ahead of its first, which fixes its state.
-BLOCK = 512
+#: Grams scored at once, and table rows (16 bytes each) broadcast at once: a larger tree is scored in as many passes as it takes.
+BLOCK, PART = 1 << 20, 3_000_000
 #: Words up to this length, with at least this share of all tokens, are scored beside the text: at most HOT of them.
 HOT, HOT_BYTES = 400_000, 64
 
@@ -41,13 +41,24 @@ def symbols(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(s: np.ndarray) -> np.ndarray:
-    """The packed gram (context then symbol, the latest in the low bits) that ends at each symbol of a text."""
+    """The packed gram that ends at each symbol of a text: its context, the latest symbol in the high bits, then the symbol.
+
+    So a shorter context of the same gram is a right shift of it, and sorted grams have sorted contexts at every depth.
+    """
     key = s[DEPTH:].copy()
     for k in range(1, DEPTH + 1):
-        key |= s[DEPTH - k : len(s) - k] << (BITS * k)
+        key |= s[DEPTH - k : len(s) - k] << (BITS * (DEPTH + 1 - k))
     return key[s[DEPTH:] > 0]
 
 
+def added(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's times."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(times[order], first) if len(keys) else times
+
+
 def counts(df: DataFrame, text: str) -> DataFrame:
     """(gram, word, n) of all texts: grams with word null and words with gram null, added up in the task before the shuffle."""
     small_batches(df.sparkSession)
@@ -57,118 +68,180 @@ def counts(df: DataFrame, text: str) -> DataFrame:
 
     def run(batches):
         held: Counter = Counter()
-        keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, size = [], 0
+
+        def emptied(keys, times):
+            for a in range(0, len(keys), 100_000):
+                part = keys[a : a + 100_000]
+                yield batch(part, [None] * len(part), times[a : a + 100_000])
+
         for b in batches:
             texts = b.column(0).to_pylist()
             for a, z in slices([t or "" for t in texts]):
                 words = [words_of(t) for t in texts[a:z]]
                 for w in words:
                     held.update(w)
-                k, c = np.unique(grams(symbols(words)[0]), return_counts=True)
-                both, where = np.unique(np.r_[keys, k], return_inverse=True)
-                times = np.bincount(where, np.r_[times, c], len(both)).astype(np.int64)
-                keys = both
+                parts.append(np.unique(grams(symbols(words)[0]), return_counts=True))
+                size += len(parts[-1][0])
                 if len(held) > 300_000:
                     yield batch([None] * len(held), list(held), list(held.values()))
                     held.clear()
-                if len(keys) > 3_000_000:
-                    yield batch(keys, [None] * len(keys), times)
-                    keys, times = keys[:0], times[:0]
-        for a in range(0, len(keys), 100_000):
-            part = keys[a : a + 100_000]
-            yield batch(part, [None] * len(part), times[a : a + 100_000])
+                if size > 4_000_000:
+                    parts = [added(*map(np.concatenate, zip(*parts, strict=True)))]
+                    size = len(parts[0][0])
+                    if size > 2_500_000:
+                        yield from emptied(*parts[0])
+                        parts, size = [], 0
+        if parts:
+            yield from emptied(*added(*map(np.concatenate, zip(*parts, strict=True))))
         if held:
             yield batch([None] * len(held), list(held), list(held.values()))
 
     return df.select(F.col(text).alias("text")).mapInArrow(lambda batches: released(run(batches)), "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
-def retained(gram_counts: DataFrame, share: float, least: int) -> DataFrame:
-    """(depth, ctx, sym, n): next-symbol counts of the contexts that the divergence test keeps, their suffixes and the root.
+def totals(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted grams: the contexts, their totals, and each gram's context by index."""
+    ctx = grams >> BITS
+    new = np.r_[True, ctx[1:] != ctx[:-1]]
+    first = np.flatnonzero(new)
+    return ctx[first], np.add.reduceat(n, first), np.cumsum(new) - 1
+
+
+def shorter(grams: np.ndarray) -> np.ndarray:
+    """The grams without their oldest symbol."""
+    return grams >> (2 * BITS) << BITS | grams & ((1 << BITS) - 1)
+
+
+def gains(grams: np.ndarray, n: np.ndarray, below: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Log-likelihood (nats) that each context of the grams gains over its suffix, whose counts are in `below`."""
+    _, total, own = totals(grams, n)
+    _, under, at = totals(*below)
+    i = np.searchsorted(below[0], shorter(grams))
+    return np.bincount(own, n * np.log((n / total[own]) / (below[1][i] / under[at[i]])), len(total))
+
+
+def retained(gram_counts: DataFrame, nats: float, least: int) -> tuple[DataFrame, np.ndarray]:
+    """Next-symbol counts of the contexts that the divergence test keeps, and of their suffixes: (pair, depth, gram, n)
+    from depth 2, where pair is a context's two latest symbols; and rows (depth, ctx, sym, n) of the root and depth 1.
 
-    A context stays if it was seen `least` times and the log-likelihood it gains over its suffix
-    (its count times the Kullback-Leibler divergence) is at least `share` of all symbols. The gains
-    of one depth add up to no more than ln(258) per symbol, so at most 5.6 / share contexts of a depth stay, at any input size.
+    A context stays if it was seen `least` times and the log-likelihood it gains over its suffix (its count
+    times the Kullback-Leibler divergence) is at least `nats`. This bound is the same at any input size, so the tree grows with the data.
+    All contexts under one pair, added up before they are shuffled, are tested together.
     """
-    mask = lambda d: F.element_at(F.array(*[F.lit((1 << (BITS * k)) - 1).cast("long") for k in range(DEPTH + 1)]), d + 1)
-    each = gram_counts.select(F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"), F.shiftright("gram", BITS).alias("full"), F.col("gram").bitwiseAND((1 << BITS) - 1).alias("sym"), "n")
-    each = each.select("depth", F.col("full").bitwiseAND(mask(F.col("depth"))).alias("ctx"), "sym", "n")
-    levels = cut(each.groupBy("depth", "ctx", "sym").agg(F.sum("n").alias("n")))
-    totals = levels.groupBy("depth", "ctx").agg(F.sum("n").alias("total"))
-    whole = totals.where("depth = 0").agg(F.sum("total")).first()[0] or 0
-    known = cut(levels.join(totals.where(F.col("total") >= least), ["depth", "ctx"]))
-    parent = known.select((F.col("depth") + 1).alias("depth"), F.col("ctx").alias("suffix"), "sym", F.col("n").alias("pn"), F.col("total").alias("pt"))
-    child = known.where("depth > 0").withColumn("suffix", F.col("ctx").bitwiseAND(mask(F.col("depth") - 1)))
-    gain = child.join(parent, ["depth", "suffix", "sym"]).groupBy("depth", "ctx").agg(F.sum(F.col("n") * F.ln((F.col("n") / F.col("total")) / (F.col("pn") / F.col("pt")))).alias("gain"))
-    kept = gain.where(F.col("gain") >= share * whole).select(F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("depth"), "ctx")
-    kept = kept.select("depth", F.col("ctx").bitwiseAND(mask(F.col("depth"))).alias("ctx")).distinct()
-    return levels.join(kept, ["depth", "ctx"]).unionByName(levels.where("depth = 0"))
+    shift = BITS * (DEPTH - 1)
+    two = gram_counts.groupBy((F.shiftleft(F.shiftright("gram", BITS * DEPTH), BITS) + F.col("gram").bitwiseAND((1 << BITS) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # at most 258 * 258 rows
+    one = added(two["gram"].to_numpy(), two["n"].to_numpy())
+
+    def subtree(table: pa.Table) -> pa.Table:
+        pair = table["pair"][0].as_py()
+        levels = {DEPTH: added(table["gram"].to_numpy(), table["n"].to_numpy()), 1: one}
+        for d in range(DEPTH - 1, 1, -1):
+            levels[d] = added(shorter(levels[d + 1][0]), levels[d + 1][1])
+        out, longer = [], np.zeros(0, np.int64)
+        for d in range(DEPTH, 1, -1):
+            g, n = levels[d]
+            ctx, total, own = totals(g, n)
+            keep = (total >= least) & (gains(g, n, levels[d - 1]) >= nats) | np.isin(ctx, longer)
+            longer = ctx[keep] >> BITS
+            rows = keep[own]
+            out.append((np.full(rows.sum(), d), g[rows], n[rows]))
+        depth, g, n = map(np.concatenate, zip(*out, strict=True))
+        return pa.table({"pair": pa.array(np.full(len(g), pair), pa.int64()), "depth": pa.array(depth, pa.int32()), "gram": pa.array(g, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    deep = cut(gram_counts.withColumn("pair", F.shiftright("gram", shift)).groupBy("pair").applyInArrow(subtree, "pair long, depth int, gram long, n long"))
+    if not len(one[0]):
+        return deep, np.zeros((0, 4), np.int64)
+    root = added(one[0] & ((1 << BITS) - 1), one[1])
+    ctx, total, own = totals(*one)
+    longer = deep.select(F.shiftright("pair", BITS).alias("c")).distinct().toArrow()["c"].to_numpy()
+    keep = ((total >= least) & (gains(*one, root) >= nats) | np.isin(ctx, longer))[own]
+    rows = [np.c_[np.zeros_like(root[0]), np.zeros_like(root[0]), root[0], root[1]], np.c_[np.ones_like(own), ctx[own], one[0] & ((1 << BITS) - 1), one[1]][keep]]
+    return deep, np.concatenate(rows)
 
 
 class Tree:
-    """The suffix tree as an automaton: the state is the longest retained suffix (or a prefix of one) of what was read."""
-
-    def __init__(self, rows: list[tuple[int, int, int, int]], gamma: float = 2.0):
-        seen: dict[tuple, dict] = {(): {}}
-        for depth, ctx, sym, n in rows:
-            name = tuple((ctx >> (BITS * k)) & ((1 << BITS) - 1) for k in reversed(range(depth)))
-            seen.setdefault(name, {})[sym] = n
-        states = sorted({c[:i] for c in seen for i in range(len(c) + 1)}, key=lambda c: (len(c), c))
-        at = {c: i for i, c in enumerate(states)}
-        suffix = {c: next(c[i:] for i in range(1, len(c) + 1) if c[i:] in at) for c in states if c}
-        self.step = np.zeros((len(states), SYMBOLS + 1), np.int32)
-        self.log = np.zeros((len(states), SYMBOLS + 1))
-        p = np.zeros((len(states), SYMBOLS))
-        for c in states:  # suffixes come before longer contexts
-            i = at[c]
-            below = p[at[suffix[c]]] if c else np.r_[0.0, np.full(SYMBOLS - 1, 1 / (SYMBOLS - 1))]
-            n = np.zeros(SYMBOLS)
-            for sym, k in seen.get(c, {}).items():
-                n[sym] = k
-            p[i] = (n + gamma * below) / (n.sum() + gamma)
-            if c:
-                self.step[i] = self.step[at[suffix[c]]]
-        children: dict[int, list] = {}
-        for c in states[1:]:
-            children.setdefault(at[c[:-1]], []).append((c[-1], at[c]))
-        for c in states:  # own transitions, else those of the suffix, which are complete by then
-            i = at[c]
-            if c:
-                self.step[i] = self.step[at[suffix[c]]]
-            for sym, to in children.get(i, []):
-                self.step[i, sym] = to
-        self.log[:, 1:SYMBOLS] = np.log10(p[:, 1:])
-        self.step, self.log = self.step.ravel() * (SYMBOLS + 1), self.log.ravel()  # states as offsets
-        self.states = len(states)
+    """The suffix tree as sorted tables by depth: contexts with the weight left to their suffix, and grams with their probability.
 
-    def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text."""
-        s, starts = symbols(texts)
-        n = np.diff(starts) - DEPTH
-        lanes = -(-n // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), lanes)
-        first = np.repeat(starts[:-1], lanes) + (np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * BLOCK
-        ends = starts[1:][owner]
-        state = np.zeros(len(owner), np.int64)
-        total = np.zeros(len(owner))
-        for k in range(DEPTH + BLOCK):
-            at = first + k
-            live = at < ends
-            if not live.any():
-                break
-            sym = np.where(live, s[np.minimum(at, len(s) - 1)], SYMBOLS)  # beyond the end: adds nothing
-            i = state + sym
-            if k >= DEPTH:
-                total += self.log[i]
-            state = self.step[i].astype(np.int64)
-        return np.bincount(owner, total, len(texts))
+    A symbol's probability is (n + gamma * p) / (N + gamma), with the counts of its longest retained context and p
+    that of the context's suffix. With `own`, only grams whose two latest context symbols it marks are scored.
+    """
 
+    def __init__(self, rows, gamma: float = 2.0, own: np.ndarray | None = None):
+        rows = np.array(rows, np.int64).reshape(-1, 4)
+        p = np.full(SYMBOLS, 1 / (SYMBOLS - 1))
+        root = rows[rows[:, 0] == 0]
+        n = np.zeros(SYMBOLS)
+        n[root[:, 2]] = root[:, 3]
+        p = (n + gamma * p) / (n.sum() + gamma)
+        self.root, self.levels, self.own = np.log10(p), [], own
+        below = np.arange(SYMBOLS), p
+        for d in range(1, int(rows[:, 0].max(initial=0)) + 1):
+            r = rows[rows[:, 0] == d]
+            g, n = added(r[:, 1] << BITS | r[:, 2], r[:, 3])
+            if not len(g):
+                break
+            ctx, total, at = totals(g, n)
+            p = (n + gamma * below[1][np.searchsorted(below[0], shorter(g))]) / (total[at] + gamma)
+            self.levels.append((ctx, np.log10(gamma / (total + gamma)), g, np.log10(p)))
+            below = g, p
+
+    def logs(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context; fast if the grams are sorted."""
+        sym = keys & ((1 << BITS) - 1)
+        out, live = self.root[sym], np.arange(len(keys))
+        for d, (ctxs, left, known, p) in enumerate(self.levels, 1):
+            ctx = keys[live] >> (BITS * (DEPTH + 1 - d))
+            i = np.minimum(np.searchsorted(ctxs, ctx), len(ctxs) - 1)
+            hit = ctxs[i] == ctx
+            live, ctx, i = live[hit], ctx[hit], i[hit]
+            if not len(live):
+                break
+            g = ctx << BITS | sym[live]
+            j = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            out[live] = np.where(known[j] == g, p[j], out[live] + left[i])
+        return out
 
-def score(df: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "doc_id", share: float = 2e-4, least: int = 8) -> DataFrame:
+    def scores(self, texts: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each text (of its own grams)."""
+        s, starts = symbols(texts)
+        keys, owner = grams(s), np.repeat(np.arange(len(texts)), np.diff(starts) - DEPTH)
+        total = np.zeros(len(texts))
+        for a in range(0, len(keys), BLOCK):
+            k, o = keys[a : a + BLOCK], owner[a : a + BLOCK]
+            if self.own is not None:
+                mine = self.own[k >> (BITS * (DEPTH - 1))]
+                k, o = k[mine], o[mine]
+            each, back = np.unique(k, return_inverse=True)
+            total += np.bincount(o, self.logs(each)[back], len(texts))
+        return total
+
+
+def parts_of(deep: DataFrame, top: np.ndarray):
+    """(rows, own) of trees of at most about PART rows (or one pair's) that together score every gram once."""
+    held = deep.groupBy("pair").agg(F.count("*").alias("n")).orderBy("pair").toArrow()  # at most 258 * 258 rows
+    pair, n = held["pair"].to_numpy(), held["n"].to_numpy()
+    part = (np.cumsum(n) - 1) // PART if len(n) else n
+    for k in range(int(part.max(initial=0)) + 1):
+        own, mine = None, deep
+        if part.max(initial=0):
+            inside = pair[part == k]
+            if not len(inside):
+                continue
+            own = np.zeros(1 << (2 * BITS), bool)
+            last = pair[part > k].min(initial=len(own))
+            own[0 if k == 0 else inside[0] : last] = True  # pairs that the tree lacks go with the part before them
+            mine = deep.where(F.col("pair").between(int(inside[0]), int(inside[-1])))
+        t = mine.select("depth", "gram", "n").toArrow()
+        g = t["gram"].to_numpy()
+        yield np.concatenate([top, np.c_[t["depth"].to_numpy(), g >> BITS, g & ((1 << BITS) - 1), t["n"].to_numpy()]]), own
+
+
+def score(df: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "doc_id", nats: float = 20.0, least: int = 8) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of df; the models come from the rows of `train`.
 
-    Tree: see retained and Tree; every text of `train` is counted, the counts meet in a shuffle, and only the bounded tree
-    goes to the tasks. score is the log10 probability of the text's words, joined by one space, and the end.
+    Tree: see retained and Tree; every text of `train` is counted, and the counts meet in a shuffle. The tree grows with `train`; it goes
+    to the tasks in parts of at most about PART rows, each of which scores its share of every text's grams in a pass of its own. score is the log10 probability of the text's words, joined by one space, and the end.
     Base: the sum over tokens (words and one end) of log10((c + 1) / (N + V + 1)). Words with at least N / HOT of the
     tokens (at most HOT words) are looked up beside the text; all others are joined with their counts, so frequent words make no hot key.
 
@@ -177,7 +250,7 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "do
     """
     spark = df.sparkSession
     made = cut(counts(train, text))
-    tree = spark.sparkContext.broadcast(Tree([tuple(r) for r in retained(made.where("gram is not null").select("gram", "n"), share, least).select("depth", "ctx", "sym", "n").collect()]))
+    trees = [spark.sparkContext.broadcast(Tree(rows, own=own)) for rows, own in parts_of(*retained(made.where("gram is not null").select("gram", "n"), nats, least))]
     known = made.where("word is not null").select("word", F.col("n").alias("c"))
     n_docs = train.count()
     facts = known.agg(F.sum("c"), F.count("*")).first()
@@ -192,8 +265,10 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "do
     given = df.select(F.col(doc_id).alias("doc_id"), *key, F.col(text).alias("text"))
     small_batches(spark)
 
+    names = ["doc_id", "h", "h2", "n_tokens", "k", "base", "score"]
+
     def heads(batches):
-        model, look = tree.value, frequent.value.get
+        model, look = trees[0].value, frequent.value.get
         for b in batches:
             texts = b.column(3).to_pylist()
             n, k, base, got = [], [], [], []
@@ -205,7 +280,18 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "do
                     n.append(len(w) + 1)
                     k.append(len(found) + (n_docs > 0))
                     base.append(math.fsum(found) + end)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(got, pa.float64())], names=["doc_id", "h", "h2", "n_tokens", "k", "base", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base, pa.float64()), pa.array(got, pa.float64())], names=names)
+
+    def further(tree):
+        def run(batches):
+            model = tree.value
+            for b in batches:
+                texts = b.column(3).to_pylist()
+                got = [x for a, z in slices([t or "" for t in texts]) for x in model.scores([words_of(t) for t in texts[a:z]]).tolist()]
+                none = [pa.nulls(len(got), t) for t in (pa.int64(), pa.int64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *none, pa.array(got, pa.float64())], names=names)
+
+        return run
 
     def rare(batches):
         look = frequent.value
@@ -215,8 +301,12 @@ def score(df: DataFrame, train: DataFrame, text: str = "text", doc_id: str = "do
                 if left:
                     yield pa.RecordBatch.from_arrays([pa.array([h] * len(left), pa.int64()), pa.array([h2] * len(left), pa.int64()), pa.array(list(left), pa.binary()), pa.array(list(left.values()), pa.int64())], names=["h", "h2", "word", "times"])
 
-    head = given.mapInArrow(heads, f"doc_id {kind}, h long, h2 long, n_tokens long, k long, base double, score double")
-    head = cut(head.groupBy("h", "h2", "doc_id").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "k", "base", "score")]))
+    schema = f"doc_id {kind}, h long, h2 long, n_tokens long, k long, base double, score double"
+    head = given.mapInArrow(heads, schema)
+    for tree in trees[1:]:
+        head = head.unionByName(given.mapInArrow(further(tree), schema))
+    head = head.groupBy("h", "h2", "doc_id").agg(F.count("n_tokens").alias("copies"), *[F.max(c).alias(c) for c in ("n_tokens", "k", "base")], (F.sum("score") / F.count("n_tokens")).alias("score"))
+    head = cut(head)
     tail = given.select("h", "h2", "text").mapInArrow(rare, "h long, h2 long, word binary, times long").join(known, "word", "left")
     tail = tail.groupBy("h", "h2").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rk"), F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - floor)).alias("rb"))
     out = head.join(tail, ["h", "h2"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))

@@ -232,3 +232,30 @@ def test_sentencepiece_pairs_stay_apart_as_the_merges_leave_them():
             longer = r.choice(starts[x[0]])
             y = r.choice(starts.get(longer[len(x) : len(x) + 1], whole))
         assert pieces.joined(pieces.ids[x], pieces.ids[y]) == (pieces.merged(x + y) == [x, y]), (x, y)
+
+
+def test_suffixtree_keeps_contexts_by_their_own_gain(spark, monkeypatch):
+    r = random.Random(11)
+    texts = [" ".join(r.choice(["abcdex", "zbcdey", "alpha", "beta", "gammadelta"]) for _ in range(r.randint(5, 60))) for _ in range(60)]
+    depth, seen = suffixtree.DEPTH, {}
+    codes = lambda t: [0] * depth + [1 + c for c in t.encode()] + [257]
+    for t in texts:
+        s = codes(t)
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                n = seen.setdefault(tuple(s[i - d : i]), {})
+                n[s[i]] = n.get(s[i], 0) + 1
+    total = {c: sum(n.values()) for c, n in seen.items()}
+    gain = lambda c: sum(n * np.log(n / total[c] * total[c[1:]] / seen[c[1:]][x]) for x, n in seen[c].items())
+    kept = {c[i:] for c in seen if c and total[c] >= 8 and gain(c) >= 20 for i in range(len(c))} | {()}
+    assert any(len(c) == 5 for c in kept)
+    def p(c, x):
+        below = p(c[1:], x) if c else 1 / 257
+        return (seen[c].get(x, 0) + 2 * below) / (total[c] + 2) if c in kept else below
+    tests = [*texts[:5], "abcdey zbcdex", "", "q alphabet"]
+    want = [sum(np.log10(p(tuple(s[i - depth : i]), s[i])) for i in range(depth, len(s))) for s in map(codes, tests)]
+    df, train = (spark.createDataFrame(list(enumerate(t)), "doc_id long, text string") for t in (tests, texts))
+    score = lambda: [x.score for x in suffixtree.score(df, train).orderBy("doc_id").collect()]
+    assert np.allclose(score(), want)
+    monkeypatch.setattr(suffixtree, "PART", 40)  # a tree in several parts scores the same
+    assert np.allclose(score(), want)
