@@ -15,6 +15,12 @@ HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: What base spans leave of a run is judged from this length.
+LEAST = 16
+#: The share of held-out ordinary samples whose score may pass the threshold.
+FALSE = 0.001
 #: Ordinary identifiers are made of these words by rule (snake, camel, kebab and path case).
 WORDS = (
     "user name value index count list array string number result error message handler request response client server config option default "
@@ -26,21 +32,32 @@ WORDS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """(sample, random): n random strings (hexadecimal, base64 and alphanumeric digests) and n ordinary identifiers, all by rule."""
+def labelled_samples(spark: SparkSession, n: int = 4000, first: int = 0) -> DataFrame:
+    """(sample, random): n random strings (hexadecimal and base32 of either case, base64, base64url and alphanumeric digests) and n ordinary
+    identifiers (also long paths, constants, settings, dates and numbers), all by rule. Other values of `first` give other samples."""
     i = F.col("id")
     digest = F.unhex(F.sha2(F.concat(F.lit("sample"), i.cast("string")).cast("binary"), 256))
     plain = F.base64(digest)
-    made = F.when(i % 3 == 0, F.lower(F.hex(digest))).when(i % 3 == 1, plain).otherwise(F.regexp_replace(plain, "[+/=]", ""))
-    word = lambda k: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(WORDS))) + 1).cast("int"))
-    a, b, c = word(1), word(2), word(3)
-    digits = F.pmod(F.xxhash64(i, F.lit(4)), F.lit(3000)).cast("string")
+    b32 = F.translate(plain, BASE64 + "=", BASE32 * 2)
+    made = F.when(i % 7 == 0, F.lower(F.hex(digest))).when(i % 7 == 1, plain).when(i % 7 == 2, F.hex(digest)).when(i % 7 == 3, b32)
+    made = made.when(i % 7 == 4, F.translate(plain, "+/=", "-_")).otherwise(F.regexp_replace(plain, "[+/=]", ""))
+    pick = lambda k, m: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(m))
+    word = lambda k: F.element_at(F.array(*[F.lit(w) for w in WORDS]), (pick(k, len(WORDS)) + 1).cast("int"))
+    a, b, c, d, e = (word(k) for k in (1, 2, 3, 5, 6))
+    digits = pick(4, 3000).cast("string")
     tail = F.when(i % 5 == 0, digits).otherwise(F.lit(""))
-    named = (
-        F.when(i % 4 == 0, F.concat_ws("_", a, b, c, tail)).when(i % 4 == 1, F.concat(a, F.initcap(b), F.initcap(c), tail)).when(i % 4 == 2, F.concat_ws("-", a, b, c, tail)).otherwise(F.concat_ws("/", a, b, F.concat(c, tail)))
-    )
-    ids = spark.range(n)
-    return ids.select(made.alias("sample"), F.lit(True).alias("random")).unionByName(ids.select(named.alias("sample"), F.lit(False).alias("random")))
+    date = lambda by: F.concat_ws(by, (pick(7, 60) + 1970).cast("string"), F.lpad((pick(8, 12) + 1).cast("string"), 2, "0"), F.lpad((pick(9, 31) + 1).cast("string"), 2, "0"))
+    number = pick(10, 10**10).cast("string")
+    named = [
+        F.concat_ws("_", a, b, c, tail), F.concat(a, F.initcap(b), F.initcap(c), tail), F.concat_ws("-", a, b, c, tail), F.concat_ws("/", a, b, F.concat(c, tail)),
+        F.concat(F.lit("/"), F.concat_ws("/", a, b, date("/"), F.concat_ws("-", c, d, e, digits))), F.upper(F.concat_ws("_", a, b, c, digits)), F.concat(a, F.lit("_"), b, F.lit("="), c, F.initcap(d), digits),
+        F.concat_ws("-", date("-"), a, b, F.concat(F.lit("v"), digits)), F.concat_ws("/", a, F.concat(F.lit("id="), number), F.concat_ws("_", b, c, date(""))), F.concat(F.initcap(a), F.initcap(b), F.initcap(c), F.initcap(d), digits, F.upper(e)),
+    ]
+    kind = F.lit(None).cast("string")
+    for k, x in enumerate(named):
+        kind = F.when(i % len(named) == k, x).otherwise(kind)
+    ids = spark.range(first, first + n)
+    return ids.select(made.alias("sample"), F.lit(True).alias("random")).unionByName(ids.select(kind.alias("sample"), F.lit(False).alias("random")))
 
 
 def code(c: Column) -> Column:
@@ -63,13 +80,22 @@ def train(samples: DataFrame, smooth: float = 0.5) -> list[float]:
 
 
 def ratio(s: Column, table: Column) -> Column:
-    """Mean log-likelihood ratio per transition of s."""
+    """The largest sum of log-likelihood ratios over consecutive transitions of s: a name or path beside a random part takes nothing off."""
     k = len(ALPHABET) + 1
-    codes = F.transform(F.split(s, ""), code)
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, (F.element_at(codes, i) * k + F.element_at(codes, i + 1) + 1).cast("int"))
-    )
-    return total / (F.length(s) - 1)
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
+
+    def step(acc, c):
+        here = code(c)
+        now = F.when(acc["last"] < 0, F.lit(0.0)).otherwise(F.greatest(acc["now"] + F.element_at(table, (acc["last"] * k + here + 1).cast("int")), F.lit(0.0)))
+        return F.struct(here.alias("last"), now.alias("now"), F.greatest(acc["best"], now).alias("best"))
+
+    return F.aggregate(F.split(s, ""), start, step, lambda acc: acc["best"])
+
+
+def calibrated(spark: SparkSession, table: list[float]) -> float:
+    """The threshold that a share FALSE of ordinary samples passes, none of which the table was trained on."""
+    held = labelled_samples(spark, 4000, 1_000_000).where("not random")
+    return held.agg(F.percentile(ratio(F.col("sample"), F.array(*[F.lit(x) for x in table])), 1 - FALSE)).first()[0]
 
 
 def found(text: Column, pattern: str, kind: int, gate: Column) -> Column:
@@ -89,15 +115,18 @@ def found(text: Column, pattern: str, kind: int, gate: Column) -> Column:
     return F.when(gate, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
-def scan(df: DataFrame, text: str = "text", table: list[float] | None = None, threshold: float = 1.0) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", table: list[float] | None = None, threshold: float | None = None) -> DataFrame:
     """df and `secrets`: an array of (s, e, k, m) by start, then kind; k indexes KINDS, m is the matched text.
 
-    The base kinds are exact. Kind `markov` adds runs of 20 and more token characters that hold a digit and
-    a letter, overlap no base span, and whose mean log-likelihood ratio per transition is at least `threshold`.
+    The base kinds are exact. Kind `markov` adds what base spans leave of runs of 20 and more token characters (LEAST
+    and more of it), if it holds a digit and a letter and its score (see ratio) is over `threshold` (default: see calibrated).
+    The span is the whole of it, so that no end of a secret stays.
     Null and empty texts have none. A df column named `secrets` is replaced; other columns pass.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    ratios = F.array(*[F.lit(x) for x in (train(labelled_samples(df.sparkSession)) if table is None else table)])
+    table = train(labelled_samples(df.sparkSession)) if table is None else table
+    threshold = calibrated(df.sparkSession, table) if threshold is None else threshold
+    ratios = F.array(*[F.lit(x) for x in table])
     low = F.lower(body)
     named = F.contains(low, F.lit("token")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("passw")) | F.contains(low, F.lit("key"))
     marked = F.contains(body, F.lit("=")) | F.contains(body, F.lit(":"))
@@ -106,12 +135,22 @@ def scan(df: DataFrame, text: str = "text", table: list[float] | None = None, th
     hexes = found(body, HEX, 2, F.rlike(body, F.lit(HEX)))
     out = df.withColumn("secrets", F.concat(assign, access, hexes))
     more = found(body, CANDIDATE, 3, F.rlike(body, F.lit(CANDIDATE)))
-    base = F.col("secrets")
-    judged = F.filter(
-        more,
-        lambda x: F.rlike(x["m"], F.lit("[0-9]")) & F.rlike(x["m"], F.lit("[A-Za-z]")) & ~F.exists(base, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])) & (ratio(x["m"], ratios) >= threshold),
-    )
-    return out.withColumn("secrets", F.array_sort(F.concat(base, judged)))
+    base = F.array_sort("secrets")
+
+    def piece(x, s, e):
+        return F.struct(s.alias("s"), e.alias("e"), x["k"].alias("k"), F.substring(x["m"], s - x["s"] + 1, e - s).alias("m"))
+
+    def left(x):  # the pieces of a run between the base spans in it
+        def step(acc, y):
+            return F.struct(F.greatest(acc["at"], y["e"]).alias("at"), F.when(y["s"] > acc["at"], F.concat(acc["out"], F.array(piece(x, acc["at"], y["s"])))).otherwise(acc["out"]).alias("out"))
+
+        inside = F.filter(base, lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"]))
+        start = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,e:int,k:int,m:string>>").alias("out"))
+        return F.aggregate(inside, start, step, lambda acc: F.when(acc["at"] < x["e"], F.concat(acc["out"], F.array(piece(x, acc["at"], x["e"])))).otherwise(acc["out"]))
+
+    pieces = F.when(F.size("secrets") > 0, F.flatten(F.transform(more, left))).otherwise(more)
+    judged = F.filter(pieces, lambda x: (F.length(x["m"]) >= LEAST) & F.rlike(x["m"], F.lit("[0-9]")) & F.rlike(x["m"], F.lit("[A-Za-z]")) & (ratio(x["m"], ratios) > threshold))
+    return out.withColumn("secrets", F.array_sort(F.concat("secrets", judged)))
 
 
 def digest(spans: Column) -> Column:

@@ -259,3 +259,26 @@ def test_suffixtree_keeps_contexts_by_their_own_gain(spark, monkeypatch):
     assert np.allclose(score(), want)
     monkeypatch.setattr(suffixtree, "PART", 40)  # a tree in several parts scores the same
     assert np.allclose(score(), want)
+
+
+def test_secrets_markov_finds_random_parts_of_runs(spark):
+    r = random.Random(17)
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    heads = ["aws_secret_access_key=", "encryption_key=", "client_credential_value=", "/home/deploy/service/session/", ""]
+    hidden = [h + some(alnum, r.randint(20, 40)) for h in heads for _ in range(40)] + [some("0123456789ABCDEF", 32) for _ in range(40)] + [some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32) for _ in range(40)]
+    named = ["/".join(r.choice(secrets.WORDS) for _ in range(6)) + str(r.randint(0, 9999)) for _ in range(100)] + ["_".join(r.choice(secrets.WORDS) for _ in range(5)) + "_v2" for _ in range(100)]
+    inside = "0123456789abcdef0123456789abcdef" + "_Zk3v9QpX7bT1mWq8RfY2Lc0D"
+    rows = list(enumerate([f"see {x} now" for x in [*hidden, *named, inside]]))
+    got = {x.doc_id: x for x in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(hidden)
+    assert sum(got[i].n_markov for i in range(n)) >= 0.97 * n
+    assert sum(got[i].n_markov for i in range(n, n + 200)) <= 2
+    assert got[n + 200].spans == "hex:4:36,markov:36:61"
+    table = list(np.random.default_rng(1).normal(size=(len(secrets.ALPHABET) + 1) ** 2))
+    def best(x):
+        c = [secrets.ALPHABET.find(y) + 1 for y in x]
+        sums = [table[a * (len(secrets.ALPHABET) + 1) + b] for a, b in zip(c, c[1:])]
+        return max([0.0] + [sum(sums[i:j]) for i in range(len(sums)) for j in range(i + 1, len(sums) + 1)])
+    df = spark.createDataFrame([(x,) for x in hidden[:20]], "x string")
+    assert np.allclose([y.b for y in df.select(secrets.ratio(F.col("x"), F.array(*[F.lit(v) for v in table])).alias("b")).collect()], [best(x) for x in hidden[:20]])
