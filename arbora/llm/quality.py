@@ -17,8 +17,9 @@ from .common import cut, released, small, small_batches
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Transformed statistics: log words, mean word length, symbols, digits, repeated lines, repeated windows, distinct words.
 FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5", "f6"]
-#: Least standard deviation of each statistic in a fit: smaller spreads are no ground to reject.
-FLOOR = [0.7, 0.6, 0.35, 0.35, 0.35, 0.35, 0.35]
+#: Least standard deviation of each statistic in a fit: smaller spreads are no ground to reject. Shares that are bounded (repeated lines
+#: by 1, repeated windows by 0.5 after the base rule) have floors at which they can reject on their own.
+FLOOR = [0.7, 0.6, 0.25, 0.35, 0.15, 0.08, 0.35]
 P = len(FEATURES)
 _SPACE = re.compile("[\x20\x09-\x0d]+")
 _SYMBOLS = {ord(c): None for c in "#*$%&|<>"}
@@ -130,7 +131,8 @@ def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, least: int = 64)
         cov = np.zeros((P, P))
         for i, j in pairs:
             cov[i, j] = cov[j, i] = inside[f"x{i}_{j}"].sum() / n - mean[i] * mean[j]
-        cov = cov * factor + np.diag(np.square(FLOOR))
+        cov = cov * factor
+        cov += np.diag(np.maximum(np.square(FLOOR) - np.diag(cov), 0))  # a spread over the floor stays as it is
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "center": [mean.tolist()], "inv": [np.linalg.inv(cov).ravel().tolist()]})
 
     for _ in range(steps):
@@ -153,7 +155,7 @@ def judge(stats: DataFrame, fits: DataFrame, cutoff: float) -> DataFrame:
 
 
 #: Rejected beyond this quantile of the chi-square law of the squared distance.
-QUANTILE = 1 - 1e-6
+QUANTILE = 0.99
 
 
 def quality(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", keep: list[str] | None = None, quantile: float = QUANTILE, least: int = 64) -> DataFrame:

@@ -282,3 +282,16 @@ def test_secrets_markov_finds_random_parts_of_runs(spark):
         return max([0.0] + [sum(sums[i:j]) for i in range(len(sums)) for j in range(i + 1, len(sums) + 1)])
     df = spark.createDataFrame([(x,) for x in hidden[:20]], "x string")
     assert np.allclose([y.b for y in df.select(secrets.ratio(F.col("x"), F.array(*[F.lit(v) for v in table])).alias("b")).collect()], [best(x) for x in hidden[:20]])
+
+
+def test_quality_rejects_by_one_statistic(spark):
+    clean = ["\n".join(prose(12, 1000 * i + k) for k in range(15 + i % 9)) for i in range(200)]
+    line = prose(50, 77)
+    menu = " | ".join(prose(3, 5000 + k) for k in range(70))
+    lines = "\n".join(["ok"] * 60 + [prose(150, 78)])  # one line again and again
+    passages = prose(130, 80) + " " + line + " " + line  # half of the words in passages that occur twice
+    texts = [*clean, menu, lines, passages]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x for x in quality.quality(df).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 196
+    assert [(got[i].base_failed, got[i].kept) for i in (200, 201, 202)] == [(False, False)] * 3
