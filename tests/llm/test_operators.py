@@ -295,3 +295,15 @@ def test_quality_rejects_by_one_statistic(spark):
     got = {x.doc_id: x for x in quality.quality(df).collect()}
     assert sum(got[i].kept for i in range(200)) >= 196
     assert [(got[i].base_failed, got[i].kept) for i in (200, 201, 202)] == [(False, False)] * 3
+
+
+def test_licenses_of_the_common_families(spark):
+    said = {"Distributed under the MIT License": "mit-line", "Licensed under the MIT License.": "mit-line", "available under the terms of the GNU Lesser General Public License": "lgpl-line", "Licensed under CC BY-SA 4.0": "cc-by-sa-line", "released under the Mozilla Public License 2.0": "mpl-line", "SPDX-License-Identifier: ISC": "isc-spdx", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-spdx", "walked under the bridge to the MIT campus": ""}
+    texts = [(prose(40, i) + " " + k + " " + prose(40, i + 99), v) for i, (k, v) in enumerate(said.items())]
+    texts += [(prose(30, 50 + i) + "\n" + licenses.TEMPLATES[k], k) for i, k in enumerate(["isc", "zlib", "unlicense", "mpl-notice", "lgpl-notice", "agpl-notice", "gpl-notice", "gpl-3-text", "apache-2.0-text", "cc0-1.0-text"])]
+    got = {x.doc_id: x for x in licenses.licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()}
+    n = len(said)
+    assert [got[i].licenses for i in range(n)] == list(said.values())
+    assert got[0].spans == "mit-line:40:45"
+    assert all(texts[i][1] in got[i].licenses.split(",") for i in range(n, len(texts)))
+    assert got[n + 4].licenses == "lgpl-notice" and got[n + 5].licenses == "agpl-notice" and got[n + 6].licenses == "gpl-notice"
