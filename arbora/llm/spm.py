@@ -15,63 +15,105 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Scores at which whole pieces are used up and single characters are made.
 NEVER, FIRST = float("-inf"), float("inf")
-_RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Parts (see packed) that a worker remembers, twice over, as it does pairs of pieces; longer parts aren't remembered.
+MEMORY, LONGEST_HELD = 150_000, 48
 
 
-class Pieces:
-    """A SentencePiece model: ids by piece, scores, and the search.
+class Vocabulary:
+    """The pieces of a SentencePiece model, and decoding. Models whose normaliser changes texts beyond the spaces are refused."""
 
-    Unigram models: the best path adds piece scores. BPE models: a path is alive if each two neighbouring
-    pieces are what the merge order makes of their concatenation; that leaves exactly one live
-    predecessor per position and its path equals the merges' result. Characters outside the vocabulary
-    become byte pieces, or the unknown piece in models without bytes.
-    """
-
-    def __init__(self, model: bytes, memory: int = 120_000):
+    def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
-        m = pb.ModelProto()
+        self.proto = m = pb.ModelProto()
         m.ParseFromString(model)
+        n = m.normalizer_spec
+        if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("the model's normaliser changes texts; only identity models with escaped spaces are encoded")
+        if m.trainer_spec.model_type not in (1, 2) or any(p.type == 4 for p in m.pieces):
+            raise ValueError("only unigram and BPE models without user-defined symbols are encoded")
         self.bpe = m.trainer_spec.model_type == 2
-        self.prefix = m.normalizer_spec.add_dummy_prefix
+        self.prefix = n.add_dummy_prefix
         self.pieces = [p.piece for p in m.pieces]
-        self.size = len(self.pieces)
-        usable = [(i, p) for i, p in enumerate(m.pieces) if p.type in (1, 4)]
-        self.ids = {p.piece: i for i, p in usable}
-        self.score = {p.piece: p.score for i, p in usable}
+        self.raw = [p.piece.replace(SPACE, " ").encode() if p.type == 1 else bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in m.pieces]
+
+    def decode(self, ids: list[int]) -> str:
+        raw = self.raw
+        s = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        return s[1:] if self.prefix and s.startswith(" ") else s
+
+
+class Pieces(Vocabulary):
+    """The search.
+
+    One automaton over all pieces (a trie with failure links) tells which pieces end at each position. Unigram
+    models: the best path adds piece scores. BPE models: a path is alive if each two neighbouring
+    pieces are what the merge order makes of their concatenation; that leaves exactly one live
+    predecessor per position and its path equals the merges' result. Characters outside the vocabulary
+    become byte pieces, or the unknown piece in models without bytes.
+    """
+
+    def __init__(self, model: bytes, memory: int = MEMORY):
+        super().__init__(model)
+        m = self.proto
+        self.proto = None
+        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type == 1}
+        self.score = {p.piece: p.score for p in m.pieces if p.type == 1}
         self.bytes = {int(p.piece[3:-1], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
-        self.raw = [p.piece.replace(SPACE, " ").encode() if p.type in (1, 4) else bytes([int(p.piece[3:-1], 16)]) if p.type == 6 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in m.pieces]
         self.longest = max(map(len, self.ids), default=1)
         self.low = min(self.score.values(), default=0.0) - 10.0  # of an unknown character
-        #: By prefix of a piece: its id + 1 where it is a piece (in BPE one that the merges make), else 0.
-        self.heads = {p[:i]: 0 for p in self.ids for i in range(1, len(p) + 1)}
         #: In BPE, the two pieces of the last merge that makes a piece, and the score at which it is made.
         self.halves, self.made = {}, {}
-        for p, i in self.ids.items():
+        for p in self.ids:
             if self.bpe and len(p) > 1:
                 self.merged(p, last := [])
                 if last and len(last[0] + last[1]) == len(p):
                     self.halves[p], self.made[p] = tuple(last), self.score[p]
-            if not self.bpe or len(p) == 1 or p in self.halves:
-                self.heads[p] = i + 1
         #: Pieces with a merge in them that scores no worse than one before it.
         self.uneven = set()
         for p in sorted(self.halves, key=len):
             if any(h in self.uneven or self.made.get(h, FIRST) <= self.made[p] for h in self.halves[p]):
                 self.uneven.add(p)
-        #: The same as a tree: by character, the id (-1 for none; its ints are shared by all results) and what may follow.
-        self.tree = {}
-        for p, known in self.heads.items():
-            node = self.tree
-            for c in p[:-1]:
-                node = node[c][1]
-            node[p[-1]] = known - 1, {}
+        self.automaton([p for p in self.ids if not self.bpe or len(p) == 1 or p in self.halves])
         #: No piece holds a space mark after another character: all paths meet before each run of marks.
         self.split = all(SPACE not in p.lstrip(SPACE) for p in self.ids)
-        #: Neighbouring characters inside pieces: all paths meet between any two others.
-        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.pairs, self.known, self.old, self.memory = {}, {}, {}, memory
+        #: Parts of a text (see packed): letters, the marks (P) that stand beside no letter in any piece, or whatever stands between two spaces.
+        beside = {c for p in self.ids for c, d in [*zip(p, p[1:]), *zip(p[1:], p)] if d.isalpha()}
+        marks = "".join(re.escape(c) for c in sorted({c for p in self.ids for c in p if not (c.isalnum() or c == "_" or c == SPACE)} - beside | set("\n\t")))
+        letters = r"[^\W\d_]"
+        self.parts = re.compile(rf" *(?:{letters}++(?=[{marks} ]|\Z)|[{marks}]++(?={letters}| |\Z)|[^ ]+)| +" if self.bytes else " *[^ ]+| +")
+        self.sizes = [max(1, len(p)) for p in self.pieces] + [1]  # the last one, at -1, is of an unknown character
+        self.pairs, self.paired = [{} for _ in self.pieces], 0
+        self.known, self.old, self.memory = {}, {}, memory
+
+    def automaton(self, pieces: list[str]) -> None:
+        """By state: where characters lead, the state of the longest proper suffix, and (id, length) of the pieces that end there, longest first."""
+        self.moves, self.fail, self.ends = [{}], [0], [()]
+        for p in pieces:
+            state = 0
+            for c in p:
+                to = self.moves[state].get(c)
+                if to is None:
+                    to = self.moves[state][c] = len(self.moves)
+                    self.moves.append({})
+                    self.fail.append(0)
+                    self.ends.append(())
+                state = to
+            self.ends[state] = ((self.ids[p], len(p)),)
+        none: dict = {}
+        queue = [0]
+        for state in queue:
+            for c, to in self.moves[state].items():
+                queue.append(to)
+                if state:
+                    back = self.fail[state]
+                    while back and c not in self.moves[back]:
+                        back = self.fail[back]
+                    self.fail[to] = self.moves[back].get(c, 0)
+                below = self.ends[self.fail[to]]
+                self.ends[to] = self.ends[to] + below if self.ends[to] else below
+        self.moves = [x or none for x in self.moves]
 
     def merged(self, s: str, last: list | None = None) -> list[str]:
         """The merge order's pieces of s: the best-scored neighbours first, the leftmost on ties; `last` takes the last two merged."""
@@ -91,11 +133,14 @@ class Pieces:
 
     def joined(self, a: int, b: int) -> bool:
         """Whether the merge order makes pieces a, b of their concatenation."""
-        if len(self.pairs) >= 2 * self.memory:
-            self.pairs.clear()
+        self.paired += 1
+        if self.paired > 2 * self.memory:
+            for row in self.pairs:
+                row.clear()
+            self.paired = 0
         x, y = self.pieces[a], self.pieces[b]
         even = x not in self.uneven and y not in self.uneven
-        ok = self.pairs[a * self.size + b] = self.apart(x, y) if even else self.merged(x + y) == [x, y]
+        ok = self.pairs[a][b] = self.apart(x, y) if even else self.merged(x + y) == [x, y]
         return ok
 
     def apart(self, x: str, y: str) -> bool:
@@ -118,191 +163,128 @@ class Pieces:
             else:
                 return True
 
-    def extend(self, s: str, j: int, ids: dict, back: dict, best: dict) -> None:
-        """Forward step of the search: offer all pieces that start at j to the positions where they end."""
-        heads, pairs, bpe, last = self.heads, self.pairs, self.bpe, ids.get(j, -1)
-        for i in range(j + 1, min(len(s), j + self.longest) + 1):
-            known = heads.get(s[j:i])
-            if known is None:
-                break
-            if not known:
-                continue
-            known -= 1
-            if bpe:
-                if i in ids:
-                    continue
-                if last >= 0:
-                    ok = pairs.get(last * self.size + known)
-                    if ok is None:
-                        ok = self.joined(last, known)
-                    if not ok:
-                        continue
-                ids[i], back[i] = known, j
-            else:
-                x = best[j] + self.score[self.pieces[known]]
-                if i not in ids or x > best[i] or ids[i] < 0:
-                    ids[i], back[i], best[i] = known, j, x
-        if j + 1 not in ids:  # a character that no piece reaches is unknown
-            ids[j + 1], back[j + 1] = -1, j
-            if not bpe:
-                best[j + 1] = best[j] + self.low
-
     def commits(self, s: str):
-        """Streaming Viterbi over s: yields (start, end, id) of its pieces as soon as they are certain; id -1 is unknown.
+        """Streaming Viterbi over s: yields lists of ids as soon as they are certain.
 
-        Keeps the scores and backpointers of the last positions only, at most `longest` behind a boundary. Whenever the
-        live paths through them meet in one boundary, the pieces before it are yielded and forgotten.
+        Keeps, from the last boundary on, the piece that ends at each position (so its backpointer) and the scores, at most
+        twice the longest piece. Whenever the window is full, the live paths (those that end where a piece may still start) are
+        walked back until they meet in one boundary; what is before it is yielded and forgotten. Paths that don't meet yet keep the window.
         """
-        longest, done, size = self.longest, 0, len(s)
-        ids, back, best = {}, {}, {0: 0.0}
-        for j in range(size):
-            self.extend(s, j, ids, back, best)
-            if j - done > 2 * longest:
-                alive = set(range(j + 1, min(size, j + longest) + 1)) & ids.keys()
+        moves, fail, ends, pairs, bpe, longest = self.moves, self.fail, self.ends, self.pairs, self.bpe, self.longest
+        state = base = at = 0
+        full = 2 * longest
+        last, best = [-1], [0.0]  # by position from base on: the piece that ends there (-1: none, or an unknown character), the path's score
+        for c in s:
+            to = moves[state].get(c)
+            while to is None and state:
+                state = fail[state]
+                to = moves[state].get(c)
+            state = to or 0
+            at += 1
+            piece = -1
+            if bpe:
+                for k, n in ends[state]:
+                    if n > at:
+                        continue
+                    before = last[at - n]
+                    if before >= 0:
+                        ok = pairs[before].get(k)
+                        if ok is None:
+                            ok = self.joined(before, k)
+                        if not ok:
+                            continue
+                    piece = k
+                    break
+            else:
+                top = best[at - 1] + self.low if c not in self.ids else NEVER
+                for k, n in ends[state]:
+                    if n <= at and (x := best[at - n] + self.score[self.pieces[k]]) > top:
+                        top, piece = x, k
+                best.append(top)
+            last.append(piece)
+            if at >= full:
+                alive, sizes = set(range(at + 1 - longest, at + 1)), self.sizes
                 while len(alive) > 1:  # walk the latest of the live positions back until all have met
                     p = max(alive)
                     alive.discard(p)
-                    alive.add(max(back[p], done))
+                    alive.add(p - sizes[last[p]])
                 meet = alive.pop()
-                if meet > done:
-                    yield from self.walk(ids, back, meet, done)
-                    for p in range(done, meet):
-                        for held in (best, ids, back):
-                            held.pop(p, None)
-                    done = meet
-        yield from self.walk(ids, back, size, done)
-
-    def short(self, s: str) -> list[int] | None:
-        """The ids of s by the same search where all of s is within the window (BPE); None if a character is unknown."""
-        tree, pairs, size, n = self.tree, self.pairs.get, self.size, len(s)
-        ids, back = [-2] * (n + 1), [0] * (n + 1)
-        last = -1
-        for j in range(n):
-            node, row = tree, last * size
-            for i in range(j, n):
-                step = node.get(s[i])
-                if step is None:
-                    break
-                known, node = step
-                if known >= 0 and ids[i + 1] == -2:
-                    if last >= 0:
-                        ok = pairs(row + known)
-                        if ok is None:
-                            ok = self.joined(last, known)
-                        if not ok:
-                            continue
-                    ids[i + 1], back[i + 1] = known, j
-            last = ids[j + 1]
-            if last == -2:
-                return None
-        out = []
-        while n:
-            out.append(ids[n])
-            n = back[n]
-        out.reverse()
-        return out
-
-    @staticmethod
-    def walk(ids: dict, back: dict, i: int, done: int) -> list:
-        out = []
-        while i > done:
-            out.append((back[i], i, ids[i]))
-            i = back[i]
-        return out[::-1]
-
-    def segment(self, s: str) -> list[int]:
-        if self.bpe and len(s) <= 2 * self.longest:
-            whole = self.heads.get(s)
-            out = [whole - 1] if whole else self.short(s)
-            if out is not None:
-                return out
-        out = []
-        for a, b, i in self.commits(s):
-            if i >= 0:
-                out.append(i)
+                if meet:
+                    yield self.walked(s, base, last, meet)
+                    base, at, last, best, full = base + meet, at - meet, last[meet:], best[meet:], 2 * longest
+                else:
+                    full = at + longest
+        yield self.walked(s, base, last, at)
+
+    def walked(self, s: str, base: int, last: list, i: int) -> list[int]:
+        """The ids on the path from the window's start to position i."""
+        out, sizes = [], self.sizes
+        while i > 0:
+            piece = last[i]
+            if piece >= 0:
+                out.append(piece)
             elif self.bytes:
-                out += [self.bytes[x] for x in s[a:b].encode("utf-8", "replace")]
-            elif not out or out[-1] != self.unknown:
+                out += [self.bytes[x] for x in reversed(s[base + i - 1].encode("utf-8", "replace"))]
+            else:
                 out.append(self.unknown)
+            i -= sizes[piece]
+        out.reverse()
         return out
 
+    def segment(self, s: str) -> bytes:
+        """The packed ids of s."""
+        out = array("i")
+        for ids in self.commits(s):
+            out.extend(ids)
+        if not self.bytes:  # neighbouring unknown characters are one piece
+            out = array("i", [x for k, x in enumerate(out) if x != self.unknown or not k or out[k - 1] != x])
+        return out.tobytes()
+
     def encode(self, text: str) -> list[int]:
         return array("i", self.packed(text)).tolist()
 
     def packed(self, text: str) -> bytes:
-        """The ids of a text as 32-bit integers, which hold far less memory than Python's."""
+        """The ids of a text as 32-bit integers.
+
+        All paths meet before a space mark, and between characters that stand side by side in no piece; so the search restarts at some of these
+        boundaries, and its result for a part between two of them may be taken from memory: a cache of bounded size, which changes nothing but time.
+        """
         if not text:
             return b""
-        s = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        s = (" " if self.prefix else "") + text.replace(SPACE, " ")
         if not self.split:
-            return array("i", self.segment(s)).tobytes()
-        out, known = [], self.known.get
-        for run in _RUNS.finditer(s):
-            run = run[0]
-            ids = known(run)
-            if ids is None:
-                ids = self.run(run)
-                known = self.known.get  # a full memory is replaced
-            out.append(ids)
+            return self.segment(s.replace(" ", SPACE))
+        parts = self.parts.findall(s)
+        out = list(map(self.known.get, parts))
+        if None in out:
+            out = [self.part(x) if ids is None else ids for x, ids in zip(parts, out, strict=True)]
         return b"".join(out)
 
-    def recall(self, part: str) -> bytes | None:
-        """The ids of a part seen before; what the older half of the memory holds moves to the newer."""
+    def part(self, part: str) -> bytes:
+        """The ids of a part; what the older half of the memory holds moves to the newer."""
         ids = self.known.get(part)
-        if ids is None and part in self.old:
-            ids = self.old[part]
-            self.remember(part, ids)
-        return ids
-
-    def remember(self, part: str, ids: bytes) -> None:
-        if len(part) <= 48:
-            if len(self.known) >= self.memory:
-                self.old, self.known = self.known, {}
-            self.known[part] = ids
-
-    def run(self, run: str) -> bytes:
-        """The packed ids of a run of text with marks at its start only, by its parts between sure boundaries."""
-        ids = self.recall(run)
-        if ids is not None:
-            return ids
-        if self.bpe and len(run) <= self.longest:  # the window holds all of it
-            ids = self.heads.get(run)
-            ids = [ids - 1] if ids else self.short(run)
-            if ids is not None:
-                ids = array("i", ids).tobytes()
-                self.remember(run, ids)
-                return ids
-        inside, out, a = self.inside, [], 0
-        for i in range(1, len(run) + 1):
-            if i == len(run) or run[i - 1 : i + 1] not in inside and self.bytes:
-                part = run[a:i]
-                ids = self.recall(part)
-                if ids is None:
-                    ids = array("i", self.segment(part)).tobytes()
-                    self.remember(part, ids)
-                out.append(ids)
-                a = i
-        ids = b"".join(out)
-        self.remember(run, ids)
+        if ids is None:
+            ids = self.old.get(part)
+            if ids is None:
+                ids = self.segment(part.replace(" ", SPACE))
+            if len(part) <= LONGEST_HELD:
+                if len(self.known) >= self.memory:
+                    self.old, self.known = self.known, {}
+                self.known[part] = ids
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        s = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return s[1:] if self.prefix and s.startswith(" ") else s
-
 
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
 
 
-def _pieces(model: bytes) -> Pieces:
-    """The model as this worker holds it, with what it remembers; one model at a time."""
-    loaded = held("pieces")
+def _loaded(kind: type, model: bytes):
+    """The model as this worker holds it, with what it remembers; one model of a kind at a time."""
+    loaded = held(kind.__name__)
     if loaded.get("model") != model:
-        loaded |= {"model": model, "pieces": Pieces(model)}
-    return loaded["pieces"]
+        loaded |= {"model": model, "made": kind(model)}
+    return loaded["made"]
 
 
 def lists(pieces: Pieces, texts: pa.Array) -> pa.Array:
@@ -333,7 +315,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "id
     types = dict(given.dtypes)
 
     def run(batches):
-        pieces = _pieces(body.value)
+        pieces = _loaded(Pieces, body.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], lists(pieces, b.column(at))], names=[*names, "ids"])
 
@@ -351,7 +333,7 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "text
     types = dict(given.dtypes)
 
     def run(batches):
-        pieces = _pieces(body.value)
+        pieces = _loaded(Vocabulary, body.value)
         for b in batches:
             lists = b.column(len(names))
             flat, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()

@@ -140,9 +140,18 @@ def test_sentencepiece(docs, empty):
     r = random.Random(2)
     texts = [x for x in edge_texts() if x is not None] + ["".join(r.choice("abthein \n▁é世") for _ in range(r.randint(0, 300))) for _ in range(200)] + ["".join(r.choice("abcdethin") for _ in range(500))]
     assert [p.encode(x) for x in texts] == [lib.encode(x) for x in texts]
-    for x in texts:
-        s = "".join(c for c in x if c not in "▁ ")
-        assert [i for _, _, i in p.commits(s)].count(-1) == sum(c not in p.ids for c in s)
+    flat = lambda x: [i for ids in p.commits(("▁" + x).replace(" ", "▁")) for i in ids]  # noqa: E731  the search alone, without memory
+    assert all(flat(x) == lib.encode(x) for x in texts if x)
+    long = "".join(r.choice("abcdethinsoruy") for _ in range(20_000))
+    blocks = list(p.commits("▁" + long))
+    assert sum(blocks, []) == lib.encode(long) and len(blocks) > 20_000 / (8 * p.longest)  # committed on the way, in small pieces
+    q, searched = spm.Pieces(spm.read_model(spm.MODEL)), []
+    real = q.commits
+    q.commits = lambda s: searched.append(len(s)) or real(s)
+    fresh = " ".join("".join(r.choice("abcdethin") for _ in range(9)) for _ in range(2000)) + " " + long
+    assert q.encode(fresh) == lib.encode(fresh) and sum(searched) >= 0.99 * len(fresh)
+    small = spm.Pieces(spm.read_model(spm.MODEL), memory=7)  # what is remembered changes nothing
+    assert [small.encode(x) for x in texts[-60:]] == [lib.encode(x) for x in texts[-60:]]
     out = spm.decode(spm.encode(docs), out="back").collect()
     assert all(r.back == r.text for r in out if not r.text or "▁" not in r.text)
     assert spm.encode(empty).count() == 0
@@ -222,7 +231,7 @@ def test_pipeline(spark):
 
 def test_sentencepiece_pairs_stay_apart_as_the_merges_leave_them():
     pieces, r = spm.Pieces(spm.read_model(spm.MODEL)), random.Random(7)
-    whole = [p for p, i in pieces.ids.items() if pieces.heads[p] == i + 1]
+    whole = [p for p in pieces.ids if len(p) == 1 or p in pieces.halves]
     starts = {}
     for p in whole:
         starts.setdefault(p[0], []).append(p)
