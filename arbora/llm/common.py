@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import sys
 import tempfile
@@ -26,17 +27,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python by rows, as some texts are very long."""
+    """Bound the Arrow batches sent to Python by rows and bytes, as some texts are very long. Both settings are read when a
+    query runs, so they stay in the session; they bound memory and change no result."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the cluster's shared checkpoint folder, so that a lost executor costs nothing before it."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder; only local sessions, as in tests, get one of their own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arbora-"))
-    return df.checkpoint()
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="arbora-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+#: Checkpoints made since the innermost `freed` began.
+_made: list[list[str]] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the cluster's shared checkpoint folder, so that a lost executor costs nothing before it."""
+    checkpoint_folder(df.sparkSession)
+    out = df.checkpoint()
+    if _made:
+        _made[-1].append(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get())
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession):
+    """Deletes, at its end, the checkpoints made inside: what was made from them must be written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

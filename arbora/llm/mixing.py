@@ -70,6 +70,29 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     )
 
 
+def drawn(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of df, each as often as the mix takes it (see mix): 0 to `most` times.
+
+    The mix is made on ids, sources and sizes alone; texts are joined with their copies once, without a shuffle where
+    the taken ids are few enough to broadcast. Rows that repeat a doc_id (or have none) are told apart by source, size and
+    a number among their likes, which are equal in all that the mix looks at. Column names of df may be any.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    rows = df.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(df.columns, names, strict=True)])
+    at = {k: names[df.columns.index(c)] for k, c in (("text", text), ("source", source), ("id", doc_id))}
+    taken = cut(mix(rows, at["text"], at["source"], at["id"], keep=[at["source"]], **how).select(F.col("doc_id").alias("_i"), F.col(at["source"]).alias("_s"), F.col("size").alias("_z"), "copies"))
+    if taken.groupBy("_i").count().where("count > 1 or _i is null").isEmpty():
+        both = rows.join(small(taken.where("copies > 0").select("_i", "copies")), F.col(at["id"]) == F.col("_i"))
+    else:
+        taken = taken.withColumn("_t", F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy("copies")))
+        sized = rows.withColumn("_size", word_count(F.col(at["text"])))
+        sized = sized.withColumn("_tie", F.row_number().over(Window.partitionBy(at["id"], at["source"], "_size").orderBy(F.crc32(F.col(at["text"]).cast("binary")))))
+        same = F.col(at["id"]).eqNullSafe(F.col("_i")) & F.col(at["source"]).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_tie") == F.col("_t"))
+        both = sized.join(small(taken.where("copies > 0")), same)
+    out = both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(x).alias(c) for c, x in zip(df.columns, names, strict=True)])
+
+
 #: The query's rows, for DuckDB.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
