@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators.messages import BIG, aggregate
+from arbora.operators.reducer import tuples
 from arbora.plans.ir import Aggregate, JoinGraph, SpecError
 
 _COUNT = [Aggregate("count", "count")]
@@ -23,10 +24,18 @@ def count(g: JoinGraph) -> DataFrame:
     return both.withColumn("one", F.lit(1)).join(same.withColumn("one", F.lit(1)), "one").select((F.col("count") - F.col("same")).alias("count"))
 
 
+#: A bound up to which the join's first tuples are counted instead of all.
+FEW = 1000
+
+
 def count_at_most(g: JoinGraph, limit: int) -> DataFrame:
-    """min(limit, cardinality)."""
+    """min(limit, cardinality): nothing is read for 0, the reduced join stops at a small limit, and a larger one takes the count."""
     if limit < 0:
         raise SpecError("a limit can't be negative")
+    if limit == 0:
+        return next(iter(g.relations.values())).sparkSession.range(1).select(F.lit(0).cast("long").alias("count"))
+    if limit <= FEW and g.unequal is None:
+        return tuples(g, limit).agg(F.count("*").alias("count"))
     return count(g).select(F.least(F.lit(limit).cast("long"), F.col("count")).alias("count"))
 
 

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.plans.gate import best_root, fold_rate
 from arbora.plans.ir import Aggregate, Decline, JoinGraph, Ref
 from arbora.plans.tree import JoinTree, join_tree
 
 BIG = T.DecimalType(38, 0)
+#: Bytes (as Spark estimates them) from which a relation is profiled before it is folded.
+LARGE = 256 << 20
 
 
 def leaf(g: JoinGraph, tree: JoinTree, r: str, extra: set[str]) -> DataFrame:
@@ -31,6 +34,10 @@ def _name(g: JoinGraph, x: Ref) -> str:
     return f"`r{list(g.relations).index(x[0])}_{x[1]}`"
 
 
+def _bare(g: JoinGraph, x: Ref) -> str:
+    return _name(g, x).strip("`")
+
+
 def _summable(g: JoinGraph, x: Ref) -> tuple[bool, int]:
     kind = g.relations[x[0]].schema[x[1]].dataType
     if isinstance(kind, T.IntegralType):
@@ -68,63 +75,81 @@ class Fold:
         self.products = {(a.x, a.y) for a in aggregates if a.kind == "sum_product"}
         self.needs = {r: {x[1] for x in self.counted | self.ends | set(groups) if x[0] == r} for r in g.relations}
 
-    def message(self, r: str) -> DataFrame:
-        """The fold of r's subtree by its key to the parent (and the groups inside it)."""
+    def folded(self, r: str) -> DataFrame:
+        """r's own rows, one per join key and group, before it meets any message: a hot key is added up before it is shuffled.
+
+        A large relation whose rows hardly share keys, as its profile shows, goes on row by row instead: folding it would shuffle it twice.
+        """
+        df, g = leaf(self.g, self.tree, r, self.needs[r]), self.g
+        keys = [*[F.col(f"v{k}") for k in self.tree.of[r]], *[F.col(_name(g, x)) for x in self.groups if x[0] == r]]
+        no = F.lit(0).cast(BIG)
+        parts = [("n", F.lit(1).cast(BIG), F.sum)]
+        for x in self.counted:
+            if x[0] == r:
+                col = F.col(_name(g, x))
+                parts.append((f"nn_{_bare(g, x)}", F.when(col.isNotNull(), F.lit(1).cast(BIG)).otherwise(no), F.sum))
+                if x in self.sums:
+                    parts.append((f"s_{_bare(g, x)}", F.coalesce(self.unscaled(x, col), no), F.sum))
+        for x in self.ends:
+            if x[0] == r:
+                parts += [(f"lo_{_bare(g, x)}", F.col(_name(g, x)), F.min), (f"hi_{_bare(g, x)}", F.col(_name(g, x)), F.max)]
+        for x, y in self.products:
+            if x[0] == y[0] == r:
+                both = (self.unscaled(x, F.col(_name(g, x))) * self.unscaled(y, F.col(_name(g, y)))).cast(BIG)
+                parts += [(f"nnp_{self.pair(x, y)}", F.when(both.isNotNull(), F.lit(1).cast(BIG)).otherwise(no), F.sum), (f"sp_{self.pair(x, y)}", F.coalesce(both, no), F.sum)]
+        if not self.shares(r):
+            return df.select(*keys, *[c.alias(name) for name, c, _ in parts])
+        return df.groupBy(*keys).agg(*[(how(c).cast(BIG) if how is F.sum else how(c)).alias(name) for name, c, how in parts])
+
+    def shares(self, r: str) -> bool:
+        """Whether r is folded before it is joined: always if one class joins it (the fold's shuffle is the join's), or if it is small."""
+        df = self.g.relations[r]
+        if len(self.tree.of[r]) == 1 or float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < LARGE:
+            return True
+        return fold_rate(self.g, self.tree, r, self.groups) >= 2
+
+    def pair(self, x: Ref, y: Ref) -> str:
+        return f"{_bare(self.g, x)}__{_bare(self.g, y)}"
+
+    def message(self, r: str) -> tuple[DataFrame, set[str]]:
+        """The fold of r's subtree by its key to the parent (and the groups inside it), and the relations in it.
+
+        r's folded rows and its children's messages are branches alike: a value of one branch is multiplied by the n of all others.
+        """
         tree, g = self.tree, self.g
-        df = leaf(g, tree, r, self.needs[r])
-        below: dict[str, set[str]] = {}
+        own = self.folded(r)
+        if not tree.children(r) and set(tree.of[r]) == set(tree.key.get(r, [])) and self.shares(r):
+            return own, {r}
+        held: dict[str, set[str]] = {"n": {r}}  # each branch's n, and its relations
+        df = own
         for c in tree.children(r):
             m, names = self.message(c)
-            tag = list(g.relations).index(c)
-            held = [x for x in m.columns if x.startswith(("n", "s", "lo", "hi")) and not x.startswith("v")]
-            m = m.select(*[F.col(f"`{x}`").alias(f"c{tag}_{x}" if x in held and x == "n" else x) for x in m.columns])
-            df = df.join(m, [f"v{k}" for k in tree.key[c]])
-            below[f"c{tag}_n"] = names
-        one = F.lit(1).cast(BIG)
-
-        def times(skip: set[str]) -> Column:
-            out = one
-            for n in below:
-                if n not in skip:
-                    out = (out * F.col(n)).cast(BIG)
-            return out
-
-        def side(x: Ref) -> str | None:
-            return next((n for n, names in below.items() if x[0] in names), None)
-
-        def part(x: Ref, what: str) -> tuple[Column, set[str]]:
-            """A measure's count or sum on one row of the join so far, without the branches not named, and the branches it holds."""
-            at = side(x)
-            if at:
-                return F.col(f"`{what}_{_name(g, x).strip('`')}`"), {at}
-            col = F.col(_name(g, x))
-            value = F.when(col.isNotNull(), 1).otherwise(0) if what == "nn" else F.coalesce(self.unscaled(x, col), F.lit(0).cast(BIG))
-            return value.cast(BIG), set()
-
-        inside = {r}.union(*below.values()) if below else {r}
+            tag = f"c{list(g.relations).index(c)}_n"
+            df = df.join(m.withColumnRenamed("n", tag), [f"v{k}" for k in tree.key[c]])
+            held[tag] = names
+        inside = set().union(*held.values())
         here = lambda x: x[0] in inside
-        aggs = [F.sum(times(set())).alias("n")]
+        side = lambda x: next(n for n, names in held.items() if x[0] in names)
+
+        def total(value: Column | None, skip: set[str]) -> Column:
+            out = value
+            for n in held:
+                if n not in skip:
+                    out = F.col(n) if out is None else (out * F.col(n)).cast(BIG)
+            return F.sum(out).cast(BIG)
+
+        aggs = [total(None, set()).alias("n")]
         for x in filter(here, self.counted):
-            v, held = part(x, "nn")
-            aggs.append(F.sum((v * times(held)).cast(BIG)).alias(f"nn_{_name(g, x).strip('`')}"))
-        for x in filter(here, self.sums):
-            v, held = part(x, "s")
-            aggs.append(F.sum((v * times(held)).cast(BIG)).alias(f"s_{_name(g, x).strip('`')}"))
+            for what in ("nn", "s") if x in self.sums else ("nn",):
+                aggs.append(total(F.col(f"`{what}_{_bare(g, x)}`"), {side(x)}).alias(f"{what}_{_bare(g, x)}"))
         for x in filter(here, self.ends):
-            at, name = side(x), _name(g, x).strip("`")
-            aggs.append(F.min(F.col(f"`lo_{name}`") if at else F.col(f"`{name}`")).alias(f"lo_{name}"))
-            aggs.append(F.max(F.col(f"`hi_{name}`") if at else F.col(f"`{name}`")).alias(f"hi_{name}"))
+            aggs += [F.min(F.col(f"`lo_{_bare(g, x)}`")).alias(f"lo_{_bare(g, x)}"), F.max(F.col(f"`hi_{_bare(g, x)}`")).alias(f"hi_{_bare(g, x)}")]
         for x, y in self.products:
-            if not (here(x) and here(y)):
-                continue
-            pair = f"{_name(g, x).strip('`')}__{_name(g, y).strip('`')}"
-            for what in ("nn", "s"):
-                if side(x) and side(x) == side(y):
-                    v, held = F.col(f"`{what}p_{pair}`"), {side(x)}
-                else:
-                    (a, h), (b, i) = part(x, what), part(y, what)
-                    v, held = (a * b).cast(BIG), h | i
-                aggs.append(F.sum((v * times(held)).cast(BIG)).alias(f"{what}p_{pair}"))
+            if here(x) and here(y):
+                for what in ("nn", "s"):
+                    name = f"{what}p_{self.pair(x, y)}"
+                    value = F.col(f"`{name}`") if side(x) == side(y) else (F.col(f"`{what}_{_bare(g, x)}`") * F.col(f"`{what}_{_bare(g, y)}`")).cast(BIG)
+                    aggs.append(total(value, {side(x), side(y)}).alias(name))
         by = [F.col(f"v{k}") for k in tree.key.get(r, [])] + [F.col(_name(g, x)) for x in self.groups if here(x)]
         return df.groupBy(*by).agg(*aggs), inside
 
@@ -132,6 +157,18 @@ class Fold:
         scale = _summable(self.g, x)[1]
         return (col * F.lit(10**scale).cast(T.DecimalType(scale + 1, 0))).cast(BIG) if scale else col.cast(BIG)
 
+    def mean(self, x: Ref, s: Column, n: Column) -> Column:
+        """The exact mean of a decimal, rounded half up at four digits more than it has, as Spark's avg: by whole parts and remainders of integers."""
+        kind = self.g.relations[x[0]].schema[x[1]].dataType
+        scale = min(38, kind.scale + 4)
+        whole = lambda a: ((a - a % n).cast(BIG) / n).cast(BIG)
+        rest = (s % n).cast(BIG)
+        more = (rest * F.lit(10 ** (scale - kind.scale)).cast(T.DecimalType(6, 0))).cast(BIG)
+        last = (more % n).cast(BIG)
+        up = F.when(F.abs(last) * 2 >= n, F.signum(last).cast(BIG)).otherwise(F.lit(0).cast(BIG))
+        units = (whole(s) * F.lit(10 ** (scale - kind.scale)).cast(T.DecimalType(6, 0))).cast(BIG) + whole(more) + up
+        return F.concat(units.cast(BIG).cast("string"), F.lit(f"E-{scale}")).cast(T.DecimalType(min(38, kind.precision + 4), scale))
+
     def result(self) -> DataFrame:
         g = self.g
         m, _ = self.message(self.tree.root)
@@ -146,7 +183,9 @@ class Fold:
             elif a.kind in ("sum", "avg"):
                 scale = _summable(g, a.x)[1]
                 s = F.when(F.col(f"`nn_{name}`") > 0, F.col(f"`s_{name}`"))
-                if a.kind == "avg":
+                if a.kind == "avg" and isinstance(g.relations[a.x[0]].schema[a.x[1]].dataType, T.DecimalType):
+                    c = self.mean(a.x, s, F.col(f"`nn_{name}`"))
+                elif a.kind == "avg":
                     c = s.cast("double") / F.lit(float(10**scale)) / F.col(f"`nn_{name}`").cast("double")
                 else:
                     c = (s.cast(T.DecimalType(38, scale)) / F.lit(10**scale).cast(T.DecimalType(scale + 1, 0))).cast(T.DecimalType(38, scale)) if scale else s
@@ -171,5 +210,6 @@ def aggregate(g: JoinGraph, aggregates: list[Aggregate], groups: list[Ref] | Non
     reasons = check(g, aggregates)
     if reasons:
         raise Decline(*reasons)
-    root = max(g.relations, key=lambda r: sum(x[0] == r for x in groups)) if groups else None
+    apart = len({x[0] for x in groups}) > 1  # where groups lie in one relation, that is the root
+    root = (best_root(g, groups) if apart else groups[0][0]) if groups else None
     return Fold(g, join_tree(g, root), aggregates, groups).result()

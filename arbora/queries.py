@@ -68,19 +68,19 @@ def _filtered(e):
 
 
 def _band(e):
-    return e.catalog.resolve("orders").where("o_orderkey BETWEEN 100 AND 9000")
+    return e.catalog.resolve("orders").where("o_totalprice BETWEEN 10000 AND 200000")
 
 
 def _sides(how, swap=False):
     def run(spark, sf):
         e = engine(spark, sf)
-        c, o = e.catalog.resolve("customer"), e.catalog.resolve("orders").where("o_orderkey % 3 = 0")
+        c, o = e.catalog.resolve("customer"), e.catalog.resolve("orders")
         return counts.side_count(c, o, ["c_custkey"], ["o_custkey"], how).withColumnRenamed("count", "n")
 
     return run
 
 
-_SIDES = "SELECT count(*) AS n FROM customer {} JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o ON c_custkey = o_custkey"
+_SIDES = "SELECT count(*) AS n FROM customer {} JOIN orders ON c_custkey = o_custkey"
 _HUB = (["supplier", "lineitem a", "lineitem b"], ["supplier.s_suppkey = a.l_suppkey", "supplier.s_suppkey = b.l_suppkey"])
 
 Q: dict[str, tuple] = {
@@ -90,7 +90,7 @@ Q: dict[str, tuple] = {
     "count_tree": (_count(*TREE), f"SELECT count(*) AS n FROM {_TREE}"),
     "count_selfjoin_events": (_count(["events a", "events b"], ["a.user_id = b.user_id"]), "SELECT count(*) AS n FROM events a, events b WHERE a.user_id = b.user_id"),
     "count_composite": (_count(["lineitem a", "lineitem b"], ["a.l_partkey = b.l_partkey", "a.l_suppkey = b.l_suppkey"]), "SELECT count(*) AS n FROM lineitem a, lineitem b WHERE a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey"),
-    "count_filtered": (_count(["customer", "band", "some"], ["customer.c_custkey = band.o_custkey", "band.o_orderkey = some.l_orderkey"], some=_filtered, band=_band), f"SELECT count(*) AS n FROM {_CHAIN} AND l_linenumber > 3 AND o_orderkey BETWEEN 100 AND 9000"),
+    "count_filtered": (_count(["customer", "band", "some"], ["customer.c_custkey = band.o_custkey", "band.o_orderkey = some.l_orderkey"], some=_filtered, band=_band), f"SELECT count(*) AS n FROM {_CHAIN} AND l_linenumber > 3 AND o_totalprice BETWEEN 10000 AND 200000"),
     "count_empty": (_agg(["orders", "none"], ["orders.o_orderkey = none.l_orderkey"], {"n": ("count",), "s": ("sum", "none.l_linenumber")}, casts={"s": "bigint"}, none=lambda e: e.catalog.resolve("lineitem").where("l_linenumber < 0")), "SELECT count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_linenumber < 0"),
     "count_col": (_agg(*_L, {"n": ("count",), "k": ("count_col", "line.few")}, line=_line), f"SELECT count(*) AS n, count(few) AS k FROM {_ON}"),
     "sum_int": (_agg(*TREE, {"s": ("sum", "lineitem.l_linenumber")}, casts={"s": "bigint"}), f"SELECT CAST(sum(l_linenumber) AS BIGINT) AS s FROM {_TREE}"),
@@ -124,6 +124,16 @@ Q: dict[str, tuple] = {
     "outer_last_count": (lambda spark, sf: counts.outer_count(engine(spark, sf).graph(["customer", "orders"], ["customer.c_custkey = orders.o_custkey"]), spark.read.parquet(f"{sf}/supplier.parquet").where("s_nationkey < 12"), ("customer", "c_nationkey"), "s_nationkey", "full").withColumnRenamed("count", "n"), "SELECT count(*) AS n FROM (SELECT c_nationkey FROM customer, orders WHERE c_custkey = o_custkey) FULL JOIN (SELECT * FROM supplier WHERE s_nationkey < 12) ON c_nationkey = s_nationkey"),
     "range_count": (lambda spark, sf: counts.range_count(spark.read.parquet(f"{sf}/lineitem.parquet"), spark.read.parquet(f"{sf}/part.parquet"), "l_linenumber", "p_size").withColumnRenamed("count", "n"), "SELECT CAST(sum(a.n * b.n) AS BIGINT) AS n FROM (SELECT l_linenumber AS v, count(*) AS n FROM lineitem GROUP BY 1) a, (SELECT p_size AS v, count(*) AS n FROM part GROUP BY 1) b WHERE a.v < b.v"),
     "sql_count": (_sql(f"SELECT count(*) AS n FROM {_TREE}"), f"SELECT count(*) AS n FROM {_TREE}"),
+    "group_cast": (_sql(f"SELECT CAST(l_quantity / 10 AS INT) AS g, count(*) AS n FROM {_CHAIN} GROUP BY CAST(l_quantity / 10 AS INT)", fires=False), f"SELECT CAST(floor(l_quantity / 10) AS INTEGER) AS g, count(*) AS n FROM {_CHAIN} GROUP BY 1"),
+    "group_computed": (_sql(f"SELECT c_nationkey + 1 AS g, sum(l_linenumber + 1) AS s, count(*) AS n FROM {_CHAIN} GROUP BY c_nationkey + 1"), f"SELECT c_nationkey + 1 AS g, CAST(sum(l_linenumber + 1) AS BIGINT) AS s, count(*) AS n FROM {_CHAIN} GROUP BY 1"),
+    "sum_computed": (_sql(f"SELECT sum(l_linenumber * 2) AS s, sum(l_orderkey * c_custkey) AS p FROM {_CHAIN}"), f"SELECT CAST(sum(l_linenumber * 2) AS BIGINT) AS s, CAST(sum(l_orderkey * c_custkey) AS BIGINT) AS p FROM {_CHAIN}"),
+    "min_cast": (_sql(f"SELECT min(CAST(o_orderkey AS STRING)) AS m, max(CAST(l_linenumber AS BIGINT)) AS b FROM {_CHAIN}"), f"SELECT min(CAST(o_orderkey AS VARCHAR)) AS m, max(CAST(l_linenumber AS BIGINT)) AS b FROM {_CHAIN}"),
+    "join_cast": (_sql("SELECT count(*) AS n FROM lineitem, part WHERE CAST(l_quantity AS INT) = p_size", fires=False), "SELECT count(*) AS n FROM lineitem, part WHERE CAST(trunc(l_quantity) AS INTEGER) = p_size"),
+    "avg_decimal": (_agg(*_L, {"a": ("avg", "line.quantity")}, ["orders.o_orderstatus"], line=_line), f"SELECT o_orderstatus, CAST(sum(quantity) / count(quantity) AS DECIMAL(16,6)) AS a FROM {_ON} GROUP BY 1"),
+    "sql_exists": (_sql(f"SELECT EXISTS (SELECT 1 FROM {_CHAIN} AND l_linenumber > 3) AS e"), f"SELECT EXISTS (SELECT 1 FROM {_CHAIN} AND l_linenumber > 3) AS e"),
+    "sql_limit": (_sql(f"SELECT count(*) AS n FROM (SELECT 1 FROM {_CHAIN} LIMIT 100)"), f"SELECT count(*) AS n FROM (SELECT 1 FROM {_CHAIN} LIMIT 100)"),
+    "sql_limit_large": (_sql(f"SELECT count(*) AS n FROM (SELECT 1 FROM {_CHAIN} LIMIT 100000000)"), f"SELECT count(*) AS n FROM (SELECT 1 FROM {_CHAIN} LIMIT 100000000)"),
+    "sql_limit_zero": (_sql(f"SELECT count(*) AS n FROM (SELECT 1 FROM {_CHAIN} LIMIT 0)", fires=False), f"SELECT count(*) AS n FROM (SELECT 1 FROM {_CHAIN} LIMIT 0)"),
     "sql_having_order": (_sql(f"SELECT c_nationkey, count(*) AS n, sum(l_linenumber) AS s, avg(o_orderkey) AS a FROM {_TREE} AND l_linenumber > 2 GROUP BY c_nationkey HAVING count(*) > 10 ORDER BY n DESC, c_nationkey LIMIT 7"), f"SELECT c_nationkey, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s, avg(o_orderkey) AS a FROM {_TREE} AND l_linenumber > 2 GROUP BY c_nationkey HAVING count(*) > 10 ORDER BY n DESC, c_nationkey LIMIT 7"),
     "sql_max": (_sql(f"SELECT max(o_orderkey) AS m FROM {_CHAIN} AND c_nationkey < 5"), f"SELECT max(o_orderkey) AS m FROM {_CHAIN} AND c_nationkey < 5"),
     "sql_or_filter": (_sql(f"SELECT count(*) AS n FROM {_CHAIN} AND (l_linenumber = 1 OR l_quantity > 40)"), f"SELECT count(*) AS n FROM {_CHAIN} AND (l_linenumber = 1 OR l_quantity > 40)"),
