@@ -112,6 +112,43 @@ def test_sharding(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_is_longest_first(spark):
+    import heapq
+
+    r = random.Random(23)
+    texts = [None, None, "", "", ""] + ["x" * r.choice([3, 3, 3, 7, 50, 900]) + str(r.randint(0, 40)) for _ in range(600)] + ["same"] * 200 + ["y" * 5000]
+    df = spark.createDataFrame([(i % 90 or None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, shard int")  # repeated and null ids, a clashing column
+    got = sharding.shard(df, n_shards=7).collect()
+    assert len(got) == len(texts)
+    groups = {}
+    for t in texts:
+        groups[t] = groups.get(t, 0) + len((t or "").encode()) + 16
+    heap = [(0, s) for s in range(7)]
+    for size in sorted(groups.values(), reverse=True):
+        load, s = heap[0]
+        heapq.heapreplace(heap, (load + size, s))
+    loads = {}
+    for x in got:
+        loads[x.shard] = loads.get(x.shard, 0) + x.size
+    assert loads == {s: load for load, s in heap}
+    by = {}
+    for x in got:
+        by.setdefault((x.text_crc32, x.size), set()).add(x.shard)
+    assert all(len(v) == 1 for v in by.values())
+    assert all(sorted(x.slot for x in got if x.shard == s) == list(range(sum(x.shard == s for x in got))) for s in loads)
+
+
+def test_sharding_deals_many_equal_groups_as_the_heap(monkeypatch):
+    r = random.Random(4)
+    for _ in range(60):
+        sizes = list({r.randint(1, 40): r.randint(1, 300) for _ in range(r.randint(1, 8))}.items())
+        n = r.randint(1, 9)
+        monkeypatch.setattr(sharding, "ONE_BY_ONE", 10**9)
+        want = sharding.longest_first(sizes, n)
+        monkeypatch.setattr(sharding, "ONE_BY_ONE", 0)
+        assert sharding.longest_first(sizes, n) == want
+
+
 def test_quality(docs, empty):
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     for i, t in enumerate(edge_texts()):
