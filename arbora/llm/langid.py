@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import held, slices, small_batches
 
-#: Code points parsed as one run; a phrase doesn't cross from one block into the next.
+#: Code points parsed side by side as one run; a phrase goes on from one block into the next (see parsed).
 BLOCK = 512
 _NEW = np.int32(1 << 30)
 
@@ -60,7 +60,7 @@ class Model:
 
     A cell holds where a character leads (as an offset into the table) and, in bit 30, whether it starts
     a new phrase: it does at a root, and wherever the automaton has no such transition. Column 0 is
-    the end of a block, 1 the space, 2 letters that the training text lacks.
+    the end of a text, 1 the space, 2 letters that the training text lacks.
     """
 
     def __init__(self, texts: dict[str, str]):
@@ -96,6 +96,41 @@ class Model:
         return out
 
 
+def parsed(lanes: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
+    """Phrases begun in each block (columns of lanes; first: blocks that begin a text) by language, in the greedy parse of whole texts.
+
+    All blocks are parsed side by side as if each began a phrase. Then each goes on from where the block before it ended, until its
+    states are those of the first parse, from where on the two are the same; blocks that end otherwise than before hand that on.
+    """
+    langs, blocks = len(model.langs), lanes.shape[1]
+    roots = np.array(model.roots, np.int32)
+    made = np.empty((len(lanes), langs, blocks), np.int32)
+    state = np.repeat(roots[:, None], blocks, 1)
+    for i, c in enumerate(lanes):
+        made[i] = to = model.table.take(state + c)
+        state = to & (_NEW - 1)
+    follows = np.flatnonzero(~first)
+    lang, block = np.repeat(np.arange(langs), len(follows)), np.tile(follows, langs)
+    state = made[-1, lang, block - 1] & (_NEW - 1)
+    apart = state != roots[lang]
+    lang, block, state = lang[apart], block[apart], state[apart]
+    while len(block):
+        for i in range(len(lanes)):
+            to = model.table.take(state + lanes[i, block])
+            state = to & (_NEW - 1)
+            apart = state != made[i, lang, block] & (_NEW - 1)
+            made[i, lang, block] = to
+            if not apart.all():
+                lang, block, state = lang[apart], block[apart], state[apart]
+                if not len(block):
+                    break
+        more = block + 1 < blocks  # these blocks end otherwise than before
+        lang, block, state = lang[more], block[more] + 1, state[more]
+        more = ~first[block]
+        lang, block, state = lang[more], block[more], state[more]
+    return (made >> 30).sum(axis=0)
+
+
 def predict(texts: list[str], model: Model, columns: np.ndarray) -> list[tuple[str, float]]:
     """(language, score) of each text; ("und", 0.0) where a text has no letter."""
     rows, owner, chars, i = [], [], np.zeros(len(texts)), 0
@@ -110,12 +145,8 @@ def predict(texts: list[str], model: Model, columns: np.ndarray) -> list[tuple[s
         owner.append(np.full(len(rows[-1]) // BLOCK, i))
     owner = np.concatenate(owner) if owner else np.zeros(0, np.int64)
     lanes = np.ascontiguousarray(np.concatenate(rows).reshape(-1, BLOCK).T) if len(owner) else np.zeros((0, 0), np.int32)
-    state = np.repeat(np.array(model.roots, np.int32)[:, None], len(owner), 1)
-    phrases = np.zeros((len(model.langs), len(owner)), np.int32)
-    for c in lanes:
-        to = model.table.take(state + c)
-        phrases += to >> 30
-        state = to & (_NEW - 1)
+    first = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
+    phrases = parsed(lanes, first, model) if len(owner) else np.zeros((len(model.langs), 0), np.int32)
     out = []
     totals = np.array([np.bincount(owner, weights=p, minlength=len(texts)) for p in phrases]).reshape(len(model.langs), len(texts))
     cost = totals * model.weight[:, None] / np.maximum(chars, 1)
@@ -156,7 +187,7 @@ def identify(df: DataFrame, train: DataFrame, text: str = "text", lang: str = "l
     """The columns of `keep` (default: doc_id), lang_pred and score of every row of df.
 
     Cross-parsing: per language a suffix automaton holds all substrings of its training text; a text is cut
-    greedily into the longest phrases found there (in blocks of 512 normalised characters), and the language
+    greedily into the longest phrases found there, and the language
     with the fewest phrases, times log2 of its training length and per character, wins; ties go to
     the first name. score is one minus the ratio of the two lowest costs. Only `text` enters a prediction.
 

@@ -106,43 +106,76 @@ def distance() -> F.Column:
     return sum(terms[1:], terms[0])
 
 
-def fit(stats: DataFrame, share: float = 0.75, steps: int = 3, least: int = 64) -> DataFrame:
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+#: Starts of a fit, steps before the best one goes on alone, and the most steps in all.
+STARTS, TRIED, STEPS = 4, 2, 20
+
+
+def moments() -> list:
+    """Count, sums and sums of products of the features, as aggregates."""
+    return [F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"x{i}_{j}") for i, j in _PAIRS]]
+
+
+def estimate(pdf: pd.DataFrame, factor: float = 1.0) -> tuple[list, list, float]:
+    """(center, inverse covariance by rows, log determinant) of the rows whose moments pdf adds up to; spreads under FLOOR are lifted to it."""
+    n = pdf["n"].sum()
+    mean = np.array([pdf[f"s{i}"].sum() / n for i in range(P)])
+    cov = np.zeros((P, P))
+    for i, j in _PAIRS:
+        cov[i, j] = cov[j, i] = pdf[f"x{i}_{j}"].sum() / n - mean[i] * mean[j]
+    cov = cov * factor
+    cov += np.diag(np.maximum(np.square(FLOOR) - np.diag(cov), 0) + 1e-6 * np.square(FLOOR))  # a spread over the floor stays as it is
+    return mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
+
+
+def fit(stats: DataFrame, share: float = 0.5, least: int = 64) -> DataFrame:
     """Minimum-covariance-determinant fits (lang, source, center, inv) from all rows of `stats`.
 
-    Starts from medians and quartile ranges; each concentration step keeps, per group, the rows nearest by the fit
-    so far (the bins of the log distance that reach `share` of the rows) and refits mean and covariance on them.
-    A step is one aggregate of moments per (group, bin), combined before its shuffle, so a hot group costs no
-    more than any other. Only sums per group and bin reach the Python fit.
+    Per group the half of the rows is sought whose covariance has the least determinant. Starts: medians and quartile ranges; mean and
+    covariance of all rows; the same of two eighths, dealt by a hash of the statistics. A concentration step keeps the rows nearest by the
+    fit so far (the bins of the log distance that reach `share` of the rows) and refits mean and covariance on them. After TRIED steps
+    the start of least determinant goes on until its determinant stands still, or for STEPS steps. Then the fit is reweighted: mean and covariance of
+    all rows within the 0.975 quantile. A step is one aggregate of moments per (group, start, bin), combined before its shuffle, so a hot group
+    costs no more than any other; only sums per group and bin reach the Python fit.
     """
     groups = small(cut(grouped(stats, least)))
     rows = cut(stats.alias("t").join(groups.alias("g"), F.expr("t.lang <=> g.lang and t.source <=> g.source")).where("grp is not null").select("grp", *FEATURES))
     q = rows.groupBy("grp").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f) for f in FEATURES])
     scale = [F.greatest((F.element_at(f, 3) - F.element_at(f, 1)) / 1.349, F.lit(s)) for f, s in zip(FEATURES, FLOOR, strict=True)]
-    fits = q.select("grp", F.array(*[F.element_at(f, 2) for f in FEATURES]).alias("center"), F.array(*[F.lit(0.0) if i != j else 1 / (scale[i] * scale[i]) for i in range(P) for j in range(P)]).alias("inv"))
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
+    schema = "grp string, start int, center array<double>, inv array<double>, det double, still boolean"
+    fits = q.select("grp", F.lit(0).alias("start"), F.array(*[F.element_at(f, 2) for f in FEATURES]).alias("center"), F.array(*[F.lit(0.0) if i != j else 1 / (scale[i] * scale[i]) for i in range(P) for j in range(P)]).alias("inv"), F.lit(float("inf")).alias("det"), F.lit(False).alias("still"))
     alpha = chi2_quantile(share, P)
     factor = share / chi2_cdf(alpha, P + 2)
 
+    def begun(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [pdf, *[p for k in range(STARTS - 2) if (p := pdf[pdf["eighth"] == k])["n"].sum() > 0]]
+        return pd.DataFrame([(pdf["grp"].iloc[0], k, *estimate(p), False) for k, p in enumerate(parts, 1)], columns=["grp", "start", "center", "inv", "det", "still"])
+
     def refit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
         inside = pdf[(pdf["n"].cumsum() - pdf["n"]) < share * pdf["n"].sum()]
-        n = inside["n"].sum()
-        mean = np.array([inside[f"s{i}"].sum() / n for i in range(P)])
-        cov = np.zeros((P, P))
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = inside[f"x{i}_{j}"].sum() / n - mean[i] * mean[j]
-        cov = cov * factor
-        cov += np.diag(np.maximum(np.square(FLOOR) - np.diag(cov), 0))  # a spread over the floor stays as it is
-        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "center": [mean.tolist()], "inv": [np.linalg.inv(cov).ravel().tolist()]})
-
-    for _ in range(steps):
-        fits = cut(fits)
-        near = rows.join(small(fits), "grp")
-        bins = near.withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 16).cast("int"))
-        sums = bins.groupBy("grp", "bin").agg(F.count("*").alias("n"), *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"x{i}_{j}") for i, j in pairs])
-        fits = sums.groupBy("grp").applyInPandas(refit, "grp string, center array<double>, inv array<double>")
-    fits = cut(fits)
-    return cut(groups.join(fits, "grp", "left").select("lang", "source", "center", "inv"))
+        center, inv, det = estimate(inside, factor)
+        still = abs(det - pdf["det"].iloc[0]) < 1e-6
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "start": [pdf["start"].iloc[0]], "center": [center], "inv": [inv], "det": [det], "still": [still]})
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        center, inv, det = estimate(pdf, 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2))
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "start": [0], "center": [center], "inv": [inv], "det": [det], "still": [True]})
+
+    eighths = rows.withColumn("eighth", F.pmod(F.xxhash64(*FEATURES), F.lit(8)).cast("int"))
+    fits = cut(fits.unionByName(eighths.groupBy("grp", "eighth").agg(*moments()).groupBy("grp").applyInPandas(begun, schema)))
+    for step in range(STEPS):
+        live = fits.where("not still")
+        bins = rows.join(small(live), "grp").withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 16).cast("int"))
+        fresh = bins.groupBy("grp", "start", "bin").agg(*moments(), F.max("det").alias("det")).groupBy("grp", "start").applyInPandas(refit, schema)
+        if step == TRIED - 1:  # the best start of each group goes on
+            fresh = fresh.groupBy("grp").agg(F.min_by(F.struct(*[c for c in fits.columns if c != "grp"]), F.struct("det", "start")).alias("b")).select("grp", "b.*").withColumn("still", F.lit(False))
+        fits = cut(fresh if step < TRIED else fits.where("still").unionByName(fresh))
+        if step >= TRIED and fits.where("not still").isEmpty():
+            break
+    near = rows.join(small(fits), "grp").where(distance() <= chi2_quantile(0.975, P))
+    fits = near.groupBy("grp").agg(*moments()).groupBy("grp").applyInPandas(kept, schema)
+    return cut(groups.join(small(cut(fits)), "grp", "left").select("lang", "source", "center", "inv"))
 
 
 def judge(stats: DataFrame, fits: DataFrame, cutoff: float) -> DataFrame:

@@ -169,6 +169,31 @@ def test_quality_rejects_outliers(spark):
     assert not got[999] and sum(got.values()) == 200
 
 
+def test_quality_fit_is_of_least_determinant(spark):
+    r = np.random.default_rng(5)
+    clean = r.standard_normal((400, quality.P)) * [1.2, 1, 0.8, 0.6, 0.3, 0.2, 0.6]
+    bad = r.standard_normal((260, quality.P)) * [1.2, 1, 0.8, 0.6, 0.3, 0.2, 0.6] + 6  # two in five rows are elsewhere
+    x = np.r_[clean, bad]
+    df = spark.createDataFrame([("en", "a", *map(float, v)) for v in x], "lang string, source string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    got = quality.fit(df).first()
+    center, inv = np.array(got.center), np.array(got.inv).reshape(quality.P, quality.P)
+    d = np.einsum("ij,jk,ik->i", x - center, inv, x - center)
+    limit = quality.chi2_quantile(quality.QUANTILE, quality.P)
+    assert (d[400:] > limit).all() and (d[:400] <= limit).mean() >= 0.95
+    best = None  # many random starts, each to its end, on whole rows
+    h = len(x) // 2
+    for k in range(60):
+        own = r.choice(len(x), quality.P + 2, replace=False)
+        for _ in range(30):
+            mean, cov = x[own].mean(0), np.cov(x[own].T) + 1e-6 * np.eye(quality.P)
+            own = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))[:h]
+        det = np.linalg.slogdet(np.cov(x[own].T))[1]
+        best = min((det, tuple(sorted(own))), best) if best else (det, tuple(sorted(own)))
+    assert max(best[1]) < 400  # the half of least determinant, found by many starts, holds none of them either
+    own = list(best[1])
+    assert (np.abs(center - x[own].mean(0)) / clean.std(0)).max() < 0.35 and (np.abs(center - clean.mean(0)) / clean.std(0)).max() < 0.2
+
+
 def test_sentencepiece(docs, empty):
     import sentencepiece
 
@@ -212,6 +237,12 @@ def test_langid(spark, docs, empty):
     want = sorted([(cost(text), "a"), (cost(other), "b")])
     (lang, score), none = langid.predict([x, "12 ?"], m, m.codes())
     assert lang == want[0][1] and abs(score - (1 - want[0][0] / want[1][0])) < 1e-9 and none == ("und", 0.0)
+    r = random.Random(8)  # phrases that cross many blocks, also where the parse never falls in with one begun at a block
+    texts = [" ".join(r.choice([text, other, "the cat", "quux xy", "zzz"]) for _ in range(400)), "a" * 3000, ("the cat sat on the mat " * 200).strip(), "on the ma" * 300]
+    m = langid.Model({"a": text, "b": other, "c": "a" * 700})
+    for x, (lang, score) in zip(texts, langid.predict(texts, m, m.codes()), strict=True):
+        want = sorted((cost(t), k) for k, t in (("a", text), ("b", other), ("c", "a" * 700)))
+        assert lang == want[0][1] and abs(score - (1 - want[0][0] / want[1][0])) < 1e-9
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"} and langid.identify(empty, docs).count() == 0
 
 
