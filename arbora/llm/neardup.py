@@ -12,6 +12,8 @@ from .components import components
 
 _seeds = np.random.default_rng(97).integers(1, 2**63, 4096, dtype=np.uint64)
 _EMPTY = np.uint64(2**64 - 1)
+#: Documents for each partition of the narrow tables (at most 400,000 rows of a band and two numbers).
+DEALT = 20_000
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -105,11 +107,12 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     are kept. Rows that repeat a doc_id and text carry the same result. An empty table gives no rows. Other columns aren't read.
     """
     made = cut(sketched(df, text, doc_id, bands, rows, k))
+    parts = max(1, -(-made.count() // DEALT))  # of tables with a few numbers for each row
     able = made.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(able.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"), F.any_value("bands").alias("bands")))
+    reps = cut(able.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"), F.any_value("bands").alias("bands")).coalesce(parts))
     keyed = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1")
-    bucket = cut(keyed.join(shared.select("band"), "band"))  # only buckets of two and more
+    bucket = cut(keyed.join(shared.select("band"), "band").coalesce(parts))  # only buckets of two and more
     wanted = small(bucket.select(F.col("rep").alias("_rep")).distinct())
     sets = cut(shingle_sets(df.select(doc_id, text).join(wanted, F.col(doc_id) == F.col("_rep"), "left_semi"), text, doc_id, k).dropDuplicates(["rep"]))
     edges, comp, tried = None, None, None
@@ -126,13 +129,13 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
         nonlocal edges, comp, tried
         far = pairs.where(f"comp <> comp_b and n * 100 >= {percent} * n_b and n_b * 100 >= {percent} * n")
         new = far.select(F.greatest("rep", "rep_b").alias("a"), F.least("rep", "rep_b").alias("b")).distinct()
-        new = cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        new = cut((new if tried is None else new.join(tried, ["a", "b"], "left_anti")).coalesce(parts))
         if new.isEmpty():
             return
-        hits = cut(verified(new))
+        hits = cut(verified(new).repartition(parts))
         tried = new if tried is None else tried.unionByName(new)
         edges = hits if edges is None else edges.unionByName(hits)
-        comp = cut(components(edges))
+        comp = cut(components(edges).coalesce(parts))
 
     def apart() -> DataFrame:
         """(band, rep, n, comp) of the buckets whose members are not all connected."""
@@ -140,7 +143,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
             return bucket.withColumn("comp", F.col("rep"))
         live = bucket.join(small(comp), bucket["rep"] == comp["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         still = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return cut(live.join(still.select("band"), "band"))
+        return cut(live.join(still.select("band"), "band").coalesce(parts))
 
     def versus(live: DataFrame, best) -> DataFrame:
         """Each member of a bucket beside the bucket's pivot, the least by `best`."""

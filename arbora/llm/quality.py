@@ -109,6 +109,8 @@ def distance() -> F.Column:
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: Starts of a fit, steps before the best one goes on alone, and the most steps in all.
 STARTS, TRIED, STEPS = 4, 2, 20
+#: Partitions of what has a few rows for each (language, source).
+FEW = 4
 
 
 def moments() -> list:
@@ -138,8 +140,8 @@ def fit(stats: DataFrame, share: float = 0.5, least: int = 64) -> DataFrame:
     all rows within the 0.975 quantile. A step is one aggregate of moments per (group, start, bin), combined before its shuffle, so a hot group
     costs no more than any other; only sums per group and bin reach the Python fit.
     """
-    groups = small(cut(grouped(stats, least)))
-    rows = cut(stats.alias("t").join(groups.alias("g"), F.expr("t.lang <=> g.lang and t.source <=> g.source")).where("grp is not null").select("grp", *FEATURES))
+    groups = small(cut(grouped(stats, least).coalesce(FEW)))
+    rows = stats.alias("t").join(groups.alias("g"), F.expr("t.lang <=> g.lang and t.source <=> g.source")).where("grp is not null").select("grp", *FEATURES)
     q = rows.groupBy("grp").agg(*[F.percentile_approx(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f) for f in FEATURES])
     scale = [F.greatest((F.element_at(f, 3) - F.element_at(f, 1)) / 1.349, F.lit(s)) for f, s in zip(FEATURES, FLOOR, strict=True)]
     schema = "grp string, start int, center array<double>, inv array<double>, det double, still boolean"
@@ -163,19 +165,19 @@ def fit(stats: DataFrame, share: float = 0.5, least: int = 64) -> DataFrame:
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "start": [0], "center": [center], "inv": [inv], "det": [det], "still": [True]})
 
     eighths = rows.withColumn("eighth", F.pmod(F.xxhash64(*FEATURES), F.lit(8)).cast("int"))
-    fits = cut(fits.unionByName(eighths.groupBy("grp", "eighth").agg(*moments()).groupBy("grp").applyInPandas(begun, schema)))
+    fits = cut(fits.unionByName(eighths.groupBy("grp", "eighth").agg(*moments()).groupBy("grp").applyInPandas(begun, schema)).coalesce(FEW))
     for step in range(STEPS):
         live = fits.where("not still")
         bins = rows.join(small(live), "grp").withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 16).cast("int"))
         fresh = bins.groupBy("grp", "start", "bin").agg(*moments(), F.max("det").alias("det")).groupBy("grp", "start").applyInPandas(refit, schema)
         if step == TRIED - 1:  # the best start of each group goes on
             fresh = fresh.groupBy("grp").agg(F.min_by(F.struct(*[c for c in fits.columns if c != "grp"]), F.struct("det", "start")).alias("b")).select("grp", "b.*").withColumn("still", F.lit(False))
-        fits = cut(fresh if step < TRIED else fits.where("still").unionByName(fresh))
+        fits = cut((fresh if step < TRIED else fits.where("still").unionByName(fresh)).coalesce(FEW))
         if step >= TRIED and fits.where("not still").isEmpty():
             break
     near = rows.join(small(fits), "grp").where(distance() <= chi2_quantile(0.975, P))
     fits = near.groupBy("grp").agg(*moments()).groupBy("grp").applyInPandas(kept, schema)
-    return cut(groups.join(small(cut(fits)), "grp", "left").select("lang", "source", "center", "inv"))
+    return cut(groups.join(small(cut(fits.coalesce(FEW))), "grp", "left").select("lang", "source", "center", "inv"))
 
 
 def judge(stats: DataFrame, fits: DataFrame, cutoff: float) -> DataFrame:
