@@ -30,7 +30,7 @@ def quality_rules(spark, docs, sf_dir):
     """
     row = F.xxhash64("doc_id", "text", "lang", "source")
     judged = quality.quality(docs.select("doc_id", "text", "lang", "source", row.alias("row")), keep=["doc_id", "row"])
-    out = cut(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct())
+    out = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
     return docs.join(small(out), (row == F.col("_row")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
 
 
