@@ -83,13 +83,13 @@ def held(name: str) -> dict:
     return sys.modules.setdefault(f"_arbora_{name}", types.ModuleType(name)).__dict__
 
 
-def released(batches, own: str = ""):
+def released(batches, own: tuple = ()):
     """The batches of a task; after each one the worker gives free memory back, as workers live on beside the next stage's.
 
     At its start, what other operators' tasks held in this worker (see held) but `own` is given up.
     """
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    for name in [x for x in sys.modules if x.startswith("_arbora_") and x != f"_arbora_{own}"]:
+    for name in [x for x in sys.modules if x.startswith("_arbora_") and x.removeprefix("_arbora_") not in own]:
         del sys.modules[name]
     for batch in batches:
         yield batch

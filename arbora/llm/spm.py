@@ -274,6 +274,10 @@ class Pieces(Vocabulary):
         return ids
 
 
+#: What this module's tasks hold in a worker.
+OWN = (Vocabulary.__name__, Pieces.__name__)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -319,7 +323,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "id
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], lists(pieces, b.column(at))], names=[*names, "ids"])
 
-    made = given.mapInArrow(lambda batches: released(run(batches), Pieces.__name__), ", ".join([f"{x} {types[x]}" for x in names] + ["ids array<int>"]))
+    made = given.mapInArrow(lambda batches: released(run(batches), OWN), ", ".join([f"{x} {types[x]}" for x in names] + ["ids array<int>"]))
     return made.select(*[F.col(x).alias(c) for c, x in zip(keep, names, strict=True)], F.col("ids").alias(out))
 
 
@@ -340,5 +344,5 @@ def decode(df: DataFrame, ids: str = "ids", model: str = MODEL, out: str = "text
             texts = pa.array([pieces.decode(flat[ends[i] : ends[i + 1]]) if ok else None for i, ok in enumerate(lists.is_valid().to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], texts], names=[*names, "text"])
 
-    made = given.mapInArrow(lambda batches: released(run(batches), Vocabulary.__name__), ", ".join([f"{x} {types[x]}" for x in names] + ["text string"]))
+    made = given.mapInArrow(lambda batches: released(run(batches), OWN), ", ".join([f"{x} {types[x]}" for x in names] + ["text string"]))
     return made.select(*[F.col(x).alias(c) for c, x in zip(keep, names, strict=True)], F.col("text").alias(out))
