@@ -108,7 +108,7 @@ def distance() -> F.Column:
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: Starts of a fit, steps before the best one goes on alone, and the most steps in all.
-STARTS, TRIED, STEPS = 4, 2, 20
+STARTS, TRIED, STEPS = 4, 2, 8
 #: Partitions of what has a few rows for each (language, source).
 FEW = 4
 
@@ -136,7 +136,7 @@ def fit(stats: DataFrame, share: float = 0.5, least: int = 64) -> DataFrame:
     Per group the half of the rows is sought whose covariance has the least determinant. Starts: medians and quartile ranges; mean and
     covariance of all rows; the same of two eighths, dealt by a hash of the statistics. A concentration step keeps the rows nearest by the
     fit so far (the bins of the log distance that reach `share` of the rows) and refits mean and covariance on them. After TRIED steps
-    the start of least determinant goes on until its determinant stands still, or for STEPS steps. Then the fit is reweighted: mean and covariance of
+    the start of least determinant goes on until the logarithm of its determinant moves by less than 0.01, STEPS steps in all at most. Then the fit is reweighted: mean and covariance of
     all rows within the 0.975 quantile. A step is one aggregate of moments per (group, start, bin), combined before its shuffle, so a hot group
     costs no more than any other; only sums per group and bin reach the Python fit.
     """
@@ -157,7 +157,7 @@ def fit(stats: DataFrame, share: float = 0.5, least: int = 64) -> DataFrame:
         pdf = pdf.sort_values("bin")
         inside = pdf[(pdf["n"].cumsum() - pdf["n"]) < share * pdf["n"].sum()]
         center, inv, det = estimate(inside, factor)
-        still = abs(det - pdf["det"].iloc[0]) < 1e-6
+        still = abs(det - pdf["det"].iloc[0]) < 0.01
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "start": [pdf["start"].iloc[0]], "center": [center], "inv": [inv], "det": [det], "still": [still]})
 
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
