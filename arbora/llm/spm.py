@@ -15,8 +15,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Scores at which whole pieces are used up and single characters are made.
 NEVER, FIRST = float("-inf"), float("inf")
-#: Parts (see packed) that a worker remembers, twice over, as it does pairs of pieces; longer parts aren't remembered.
-MEMORY, LONGEST_HELD = 150_000, 48
+#: Parts (see packed) that a worker remembers, twice over; longer parts aren't remembered, nor parts met once (by SEEN marks, dealt by hash).
+MEMORY, LONGEST_HELD, SEEN = 50_000, 48, 1 << 20
+#: Pairs of pieces that a worker remembers.
+PAIRS = 300_000
 
 
 class Vocabulary:
@@ -85,7 +87,7 @@ class Pieces(Vocabulary):
         self.parts = re.compile(rf" *(?:{letters}++(?=[{marks} ]|\Z)|[{marks}]++(?={letters}| |\Z)|[^ ]+)| +" if self.bytes else " *[^ ]+| +")
         self.sizes = [max(1, len(p)) for p in self.pieces] + [1]  # the last one, at -1, is of an unknown character
         self.pairs, self.paired = [{} for _ in self.pieces], 0
-        self.known, self.old, self.memory = {}, {}, memory
+        self.known, self.old, self.memory, self.seen = {}, {}, memory, bytearray(SEEN)
 
     def automaton(self, pieces: list[str]) -> None:
         """By state: where characters lead, the state of the longest proper suffix, and (id, length) of the pieces that end there, longest first."""
@@ -134,7 +136,7 @@ class Pieces(Vocabulary):
     def joined(self, a: int, b: int) -> bool:
         """Whether the merge order makes pieces a, b of their concatenation."""
         self.paired += 1
-        if self.paired > 2 * self.memory:
+        if self.paired > PAIRS:
             for row in self.pairs:
                 row.clear()
             self.paired = 0
@@ -261,15 +263,17 @@ class Pieces(Vocabulary):
         return b"".join(out)
 
     def part(self, part: str) -> bytes:
-        """The ids of a part; what the older half of the memory holds moves to the newer."""
+        """The ids of a part; it is held from the second time on, and what the older half of the memory holds moves to the newer."""
         ids = self.known.get(part)
         if ids is None:
-            ids = self.old.get(part)
+            ids, again = self.old.get(part), True
             if ids is None:
                 ids = self.segment(part.replace(" ", SPACE))
-            if len(part) <= LONGEST_HELD:
+                slot = hash(part) & SEEN - 1
+                again, self.seen[slot] = self.seen[slot], 1
+            if again and len(part) <= LONGEST_HELD:
                 if len(self.known) >= self.memory:
-                    self.old, self.known = self.known, {}
+                    self.old, self.known, self.seen = self.known, {}, bytearray(SEEN)
                 self.known[part] = ids
         return ids
 
