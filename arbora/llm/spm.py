@@ -16,7 +16,7 @@ SPACE = "▁"
 #: Scores at which whole pieces are used up and single characters are made.
 NEVER, FIRST = float("-inf"), float("inf")
 #: Parts (see packed) that a worker remembers, twice over; longer parts aren't remembered, nor parts met once (by SEEN marks, dealt by hash).
-MEMORY, LONGEST_HELD, SEEN = 50_000, 48, 1 << 20
+MEMORY, LONGEST_HELD, SEEN = 150_000, 48, 1 << 20
 #: Pairs of pieces that a worker remembers.
 PAIRS = 300_000
 
@@ -287,11 +287,11 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _loaded(kind: type, model: bytes):
+def _loaded(kind: type, model: bytes, **given):
     """The model as this worker holds it, with what it remembers; one model of a kind at a time."""
     loaded = held(kind.__name__)
-    if loaded.get("model") != model:
-        loaded |= {"model": model, "made": kind(model)}
+    if loaded.get("model") != (model, given):
+        loaded |= {"model": (model, given), "made": kind(model, **given)}
     return loaded["made"]
 
 
@@ -308,8 +308,9 @@ def lists(pieces: Pieces, texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([*ends, end], pa.int32()), values)
 
 
-def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "ids") -> DataFrame:
+def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "ids", memory: int = MEMORY) -> DataFrame:
     """df and `out` (array<int>): each text's ids. Null texts give null, empty ones no ids; a column named `out` is replaced.
+    `memory` is how many parts a worker remembers, twice over: fewer take less of its memory and more time, with the same ids.
 
     The model file (under 1 MB) is read on the driver and sent with the tasks. Texts pass through
     Python one by one; a worker holds one batch, a bounded memory of short segments, and the search's window.
@@ -323,7 +324,7 @@ def encode(df: DataFrame, text: str = "text", model: str = MODEL, out: str = "id
     types = dict(given.dtypes)
 
     def run(batches):
-        pieces = _loaded(Pieces, body.value)
+        pieces = _loaded(Pieces, body.value, memory=memory)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], lists(pieces, b.column(at))], names=[*names, "ids"])
 

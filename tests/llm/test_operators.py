@@ -194,7 +194,7 @@ def test_quality_fit_is_of_least_determinant(spark):
     assert (np.abs(center - x[own].mean(0)) / clean.std(0)).max() < 0.35 and (np.abs(center - clean.mean(0)) / clean.std(0)).max() < 0.2
 
 
-def test_sentencepiece(docs, empty):
+def test_sentencepiece(docs, empty, monkeypatch):
     import sentencepiece
 
     lib = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
@@ -213,7 +213,11 @@ def test_sentencepiece(docs, empty):
     fresh = " ".join("".join(r.choice("abcdethin") for _ in range(9)) for _ in range(2000)) + " " + long
     assert q.encode(fresh) == lib.encode(fresh) and sum(searched) >= 0.99 * len(fresh)
     small = spm.Pieces(spm.read_model(spm.MODEL), memory=7)  # what is remembered changes nothing
-    assert [small.encode(x) for x in texts[-60:]] == [lib.encode(x) for x in texts[-60:]]
+    monkeypatch.setattr(spm, "PAIRS", 14)
+    assert [small.encode(x) for x in texts[-60:] * 2] == [lib.encode(x) for x in texts[-60:] * 2] and small.old
+    monkeypatch.undo()
+    alike = spm.encode(docs).join(spm.encode(docs, memory=7, out="few"), "doc_id")
+    assert alike.where("not ids <=> few").isEmpty() and not alike.isEmpty()
     out = spm.decode(spm.encode(docs), out="back").collect()
     assert all(r.back == r.text for r in out if not r.text or "▁" not in r.text)
     assert spm.encode(empty).count() == 0
