@@ -55,7 +55,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def encode(spark, docs, sf_dir):
     """The columns of documents, and each text's ids."""
-    return spm.encode(docs)
+    return spm.encode(docs, memory=50_000)  # its workers share the executors with what the other stages left there
 
 
 STAGES = [("quality rules", quality_rules), ("minhash near-dedup", minhash_dedup), ("secret scan", secret_scan), ("mixing", mix_sources), ("sentencepiece", encode)]
