@@ -388,3 +388,17 @@ def test_licenses_of_the_common_families(spark):
     assert got[0].spans == "mit-line:40:45"
     assert all(texts[i][1] in got[i].licenses.split(",") for i in range(n, len(texts)))
     assert got[n + 4].licenses == "lgpl-notice" and got[n + 5].licenses == "agpl-notice" and got[n + 6].licenses == "gpl-notice"
+
+
+def test_suffixtree_memory_changes_no_score(monkeypatch):
+    monkeypatch.setattr(suffixtree, "MEMORY", 4)  # 16 slots, so most grams meet another's
+    texts = [suffixtree.words_of(prose(300, seed)) for seed in range(6)]
+    grams = suffixtree.grams(suffixtree.symbols(texts)[0])
+    keys, n = np.unique(grams, return_counts=True)
+    levels = {suffixtree.DEPTH: (keys, n)}
+    for d in range(suffixtree.DEPTH - 1, 0, -1):
+        levels[d] = suffixtree.added(suffixtree.shorter(levels[d + 1][0]), levels[d + 1][1])
+    levels[0] = suffixtree.added(keys & ((1 << suffixtree.BITS) - 1), n)
+    tree = suffixtree.Tree(np.concatenate([np.c_[np.full(len(g), d), g >> suffixtree.BITS, g & ((1 << suffixtree.BITS) - 1), m] for d, (g, m) in levels.items()]))
+    for part in np.array_split(grams, 7):
+        assert (tree.recalled(part) == tree.logs(part)).all()
