@@ -15,16 +15,17 @@ from .components import components
 
 def tables_for(rows: int, cosine: float, recall: float) -> tuple[int, int]:
     """(bits, tables): bits so that unrelated vectors rarely meet, tables so that a pair at `cosine` is found with probability `recall`."""
-    bits = min(24, max(8, math.ceil(math.log2(max(rows, 2))) + 2))
+    bits = max(8, math.ceil(math.log2(max(rows, 2))) + 2)
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
 def signs(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """(rows, tables) sign hashes of the rows of x."""
+    """(rows, tables) sign hashes of the rows of x; up to 62 bits."""
     planes = np.random.default_rng([11, x.shape[1]]).standard_normal((x.shape[1], bits * tables))
     side = (x @ planes > 0).reshape(len(x), tables, bits)
-    return (side << np.arange(bits)).sum(axis=2).astype(np.int32)
+    whole = (side << np.arange(bits)).sum(axis=2)
+    return ((whole ^ whole >> 31) & 0x7FFFFFFF).astype(np.int32)  # over 31 bits, folded: buckets may merge, none is split
 
 
 def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
