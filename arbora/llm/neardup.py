@@ -14,6 +14,8 @@ _seeds = np.random.default_rng(97).integers(1, 2**63, 4096, dtype=np.uint64)
 _EMPTY = np.uint64(2**64 - 1)
 #: Documents for each partition of the narrow tables (at most 400,000 rows of a band and two numbers).
 DEALT = 20_000
+#: Members from which a bucket is met by broadcast, so that its rows stay where they are.
+HOT = 1_000
 
 
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
@@ -83,6 +85,14 @@ def shingle_sets(df: DataFrame, text: str, doc_id: str, k: int) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).mapInArrow(lambda batches: released(run(batches)), "rep long, elements array<long>, bits array<long>")
 
 
+def beside(live: DataFrame, one: DataFrame) -> DataFrame:
+    """live joined with `one`, a checkpointed row per band with its members: bands of over HOT members by broadcast
+    (there are at most 1 / HOT as many as rows; beyond what `small` lets through, AQE splits them), all others by a shuffle."""
+    hot = small(one.where(f"members > {HOT}").drop("members"))
+    cold = live.join(hot.select("band"), "band", "left_anti").join(one.where(f"members <= {HOT}").drop("members"), "band")
+    return live.join(hot, "band").unionByName(cold)
+
+
 def rarest(sets: DataFrame, percent: int) -> DataFrame:
     """(rep, e, rank, odd) of each set's rarest n - ceil(percent n / 100) + 1 elements; odd is the share that no other set has."""
     each = sets.select("rep", F.size("elements").alias("m"), F.explode("elements").alias("e"))
@@ -111,8 +121,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
     able = made.where("n_shingles > 0 and doc_id is not null")
     reps = cut(able.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").cast("long").alias("rep"), F.any_value("bands").alias("bands")).coalesce(parts))
     keyed = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("members"), F.min("rep").alias("least")).where("members > 1")
-    bucket = cut(keyed.join(shared.select("band"), "band").coalesce(parts))  # only buckets of two and more
+    shared = cut(keyed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").coalesce(parts))
+    bucket = cut(beside(keyed, shared).coalesce(parts))  # only buckets of two and more
     wanted = small(bucket.select(F.col("rep").alias("_rep")).distinct())
     sets = cut(shingle_sets(df.select(doc_id, text).join(wanted, F.col(doc_id) == F.col("_rep"), "left_semi"), text, doc_id, k).dropDuplicates(["rep"]))
     edges, comp, tried = None, None, None
@@ -142,13 +152,13 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", p
         if comp is None:
             return bucket.withColumn("comp", F.col("rep"))
         live = bucket.join(small(comp), bucket["rep"] == comp["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        still = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        return cut(live.join(still.select("band"), "band").coalesce(parts))
+        still = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
+        return cut(beside(live, cut(still.select("band", "members").coalesce(parts))).coalesce(parts))
 
     def versus(live: DataFrame, best) -> DataFrame:
         """Each member of a bucket beside the bucket's pivot, the least by `best`."""
-        pivot = live.groupBy("band").agg(F.min(F.struct(*best, "rep", "n", "comp")).alias("p"))
-        return live.join(pivot.select("band", F.col("p.rep").alias("rep_b"), F.col("p.n").alias("n_b"), F.col("p.comp").alias("comp_b")), "band")
+        pivot = live.groupBy("band").agg(F.min(F.struct(*best, "rep", "n", "comp")).alias("p"), F.count("*").alias("members"))
+        return beside(live, cut(pivot.select("band", F.col("p.rep").alias("rep_b"), F.col("p.n").alias("n_b"), F.col("p.comp").alias("comp_b"), "members").coalesce(parts)))
 
     link(versus(apart(), []))
     live = apart()

@@ -65,7 +65,9 @@ def test_neardup(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_neardup_group_of_near_copies(spark):
+@pytest.mark.parametrize("hot", [5, 1_000])  # buckets met by broadcast, and by a shuffle
+def test_neardup_group_of_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "HOT", hot)
     r, base, t = random.Random(5), prose(150, 9).split(), []
     for i in range(60):
         w = list(base)
@@ -265,6 +267,14 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(300, 304))
 
 
+def test_embedding_hashes_of_many_bits_keep_bucket_mates():
+    x = np.random.default_rng(8).standard_normal((40, 12))
+    x = np.r_[x, x * 3.0]
+    assert embeddings.tables_for(1 << 40, 0.9, 0.97)[0] == 42
+    keys = embeddings.signs(x, 42, 3)
+    assert (keys >= 0).all() and (keys[:40] == keys[40:]).all() and len(np.unique(keys[:40, 0])) > 30
+
+
 def test_suffixtree(spark, docs, empty):
     got = {r.doc_id: r for r in suffixtree.score(docs, docs.where("doc_id <> 10")).collect()}
     c = duckdb.connect()
