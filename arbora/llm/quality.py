@@ -130,6 +130,24 @@ def estimate(pdf: pd.DataFrame, factor: float = 1.0) -> tuple[list, list, float]
     return mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
+def made(sums: DataFrame, by: list[str], make, schema: str) -> DataFrame:
+    """make(pdf) of each group's rows, in FEW partitions; all columns but `by` are numbers, which become doubles.
+
+    A group's rows, few as they are, are collected into one, and these are dealt to FEW tasks before they go to Python: where a task
+    runs Python for one partition after the other, it holds the Arrow memory of all of them until it ends.
+    """
+    names = [c for c in sums.columns if c not in by]
+    small_batches(sums.sparkSession)
+    rows = sums.groupBy(*by).agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in names])).alias("rows")).coalesce(FEW)
+
+    def run(pdfs):
+        for pdf in pdfs:
+            for i in range(len(pdf)):
+                yield make(pd.DataFrame(np.stack(pdf["rows"].iloc[i]), columns=names).assign(**{c: pdf[c].iloc[i] for c in by}))
+
+    return rows.mapInPandas(lambda pdfs: released(run(pdfs)), schema)
+
+
 def fit(stats: DataFrame, share: float = 0.5, least: int = 64) -> DataFrame:
     """Minimum-covariance-determinant fits (lang, source, center, inv) from all rows of `stats`.
 
@@ -165,19 +183,19 @@ def fit(stats: DataFrame, share: float = 0.5, least: int = 64) -> DataFrame:
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "start": [0], "center": [center], "inv": [inv], "det": [det], "still": [True]})
 
     eighths = rows.withColumn("eighth", F.pmod(F.xxhash64(*FEATURES), F.lit(8)).cast("int"))
-    fits = cut(fits.unionByName(eighths.groupBy("grp", "eighth").agg(*moments()).groupBy("grp").applyInPandas(begun, schema)).coalesce(FEW))
+    fits = cut(fits.coalesce(FEW).unionByName(made(eighths.groupBy("grp", "eighth").agg(*moments()), ["grp"], begun, schema)))
     for step in range(STEPS):
         live = fits.where("not still")
         bins = rows.join(small(live), "grp").withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 16).cast("int"))
-        fresh = bins.groupBy("grp", "start", "bin").agg(*moments(), F.max("det").alias("det")).groupBy("grp", "start").applyInPandas(refit, schema)
+        fresh = made(bins.groupBy("grp", "start", "bin").agg(*moments(), F.max("det").alias("det")), ["grp", "start"], refit, schema)
         if step == TRIED - 1:  # the best start of each group goes on
-            fresh = fresh.groupBy("grp").agg(F.min_by(F.struct(*[c for c in fits.columns if c != "grp"]), F.struct("det", "start")).alias("b")).select("grp", "b.*").withColumn("still", F.lit(False))
-        fits = cut((fresh if step < TRIED else fits.where("still").unionByName(fresh)).coalesce(FEW))
+            fresh = fresh.groupBy("grp").agg(F.min_by(F.struct(*[c for c in fits.columns if c != "grp"]), F.struct("det", "start")).alias("b")).select("grp", "b.*").withColumn("still", F.lit(False)).coalesce(FEW)
+        fits = cut(fresh if step < TRIED else fits.where("still").coalesce(FEW).unionByName(fresh))
         if step >= TRIED and fits.where("not still").isEmpty():
             break
     near = rows.join(small(fits), "grp").where(distance() <= chi2_quantile(0.975, P))
-    fits = near.groupBy("grp").agg(*moments()).groupBy("grp").applyInPandas(kept, schema)
-    return cut(groups.join(small(cut(fits.coalesce(FEW))), "grp", "left").select("lang", "source", "center", "inv"))
+    fits = made(near.groupBy("grp").agg(*moments()), ["grp"], kept, schema)
+    return cut(groups.join(small(cut(fits)), "grp", "left").select("lang", "source", "center", "inv"))
 
 
 def judge(stats: DataFrame, fits: DataFrame, cutoff: float) -> DataFrame:

@@ -412,3 +412,28 @@ def test_suffixtree_memory_changes_no_score(monkeypatch):
     tree = suffixtree.Tree(np.concatenate([np.c_[np.full(len(g), d), g >> suffixtree.BITS, g & ((1 << suffixtree.BITS) - 1), m] for d, (g, m) in levels.items()]))
     for part in np.array_split(grams, 7):
         assert (tree.recalled(part) == tree.logs(part)).all()
+
+
+def test_quality_fit_runs_python_once_a_task(spark, monkeypatch):
+    """No Python step stands below a coalesce: its task would hold the Arrow memory of every partition until it ends."""
+    plans = []
+
+    def walk(node, merged):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan(), merged)
+        merged = name == "Coalesce" or merged and "Exchange" not in name
+        held = [name] if merged and name.startswith(("FlatMapGroups", "MapIn")) else []
+        python.extend([name] if name.startswith(("FlatMapGroups", "MapIn")) else [])
+        for i in range(node.children().size()):
+            held += walk(node.children().apply(i), merged)
+        return held
+
+    python = []
+    cut = quality.cut
+    monkeypatch.setattr(quality, "cut", lambda df: plans.append(walk(df._jdf.queryExecution().executedPlan(), False)) or cut(df))
+    r = np.random.default_rng(6)
+    rows = [("en", s, *map(float, v)) for s in "abc" for v in r.standard_normal((100, quality.P))]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    assert quality.fit(df).where("center is not null").count() == 3
+    assert len(python) > 3 and not [x for p in plans for x in p]
