@@ -90,6 +90,19 @@ def test_gate_sees_skew_and_changed_tables(spark, tmp_path):
     assert c.common == {1: 0.5} and abs(c.distinct - (51 - 50 + 50 * np.sqrt(10))) < 1e-9
 
 
+def test_gate_counts_distinct_keys_beyond_the_sample(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(gate, "SAMPLE", 200)
+    e = Engine(spark, mode="auto")
+    for name, n, k in (("one", 50_000, 50_000), ("four", 200_000, 50_000), ("many", 200_000, 500)):
+        spark.range(n).select((F.col("id") % k).alias("k")).write.parquet(str(tmp_path / name))
+        e.register(name, spark.read.parquet(str(tmp_path / name)))
+    e.sql("SELECT count(*) n FROM one x, four y WHERE x.k = y.k")  # 200,000 tuples of 250,000 rows
+    assert not e.fired
+    assert e.sql("SELECT count(*) n FROM many x, four y WHERE x.k = y.k").first().n == 500 * 400 * 4 and not e.fired  # 800,000 of 400,000
+    e.sql("SELECT count(*) n FROM many x, many y WHERE x.k = y.k")
+    assert e.fired
+
+
 def test_large_relations_go_row_by_row(engine, monkeypatch):
     ask = lambda: sorted(map(tuple, engine.aggregate(["a", "b", "a c"], ["a.k = b.k", "b.y = c.x"], {"n": ("count",), "s": ("sum", "b.y"), "z": ("count_col", "b.z"), "p": ("sum_product", "a.x", "b.y"), "hi": ("max", "c.x")}, ["b.k", "c.k"]).collect()))
     want = ask()
