@@ -52,6 +52,29 @@ def test_reasons_and_fallback(engine, monkeypatch):
     assert "fell back" in " ".join(engine.last)
 
 
+def test_join_keys_cast_to_fewer_values(spark):
+    e = Engine(spark, mode="force")
+    e.register("q", spark.createDataFrame([(x, i) for i, x in enumerate([1.0, 1.9, -1.5, -0.5, None, 7.2, 7.7, 50.0])], "d double, i int"))
+    e.register("p", spark.createDataFrame([(x,) for x in [1, 1, -1, 0, 7, None, 8]], "s int"))
+    for q in (
+        "SELECT count(*) n FROM q, p WHERE CAST(d AS INT) = s", "SELECT s, count(*) n, sum(i) t, max(i) m FROM q, p WHERE CAST(d AS INT) = s GROUP BY s", "SELECT count(*) n FROM q x, q y WHERE CAST(x.d AS SMALLINT) = CAST(y.d AS INT)",
+        "SELECT count(*) n FROM q, p WHERE CAST(d AS INT) + 1 = s AND i > 2", "SELECT EXISTS (SELECT 1 FROM q, p WHERE CAST(d AS INT) = s) e", "SELECT count(*) n FROM (SELECT 1 FROM q, p WHERE CAST(d AS INT) = s LIMIT 3)", "SELECT max(i) m FROM q, p WHERE CAST(d AS INT) = s",
+    ):
+        assert sorted(e.sql(q).collect(), key=str) == sorted(e.sql(q, "off").collect(), key=str)
+        e.sql(q)
+        assert e.fired, q
+    e.register("far", spark.createDataFrame([(1.0,), (1e10,)], "d double"))
+    for q in ("SELECT count(*) n FROM far, p WHERE CAST(d AS INT) = s AND d < 1e9", "SELECT count(*) n FROM far, p WHERE try_cast(d AS INT) = s"):
+        assert e.sql(q).first().n == 2 and e.fired
+    for mode in ("off", "force"):  # the plain join raises too
+        with pytest.raises(Exception, match="CAST_OVERFLOW"):
+            e.sql("SELECT count(*) n FROM far, p WHERE CAST(d AS INT) = s", mode).collect()
+    e.register("two", spark.createDataFrame([(1, 5)], "s int, t int"))
+    assert e.sql("SELECT count(*) n FROM far, two WHERE CAST(d AS INT) = s AND t > 9").first().n == 0 and e.fired  # the other side is empty: no key is computed
+    three = "SELECT count(*) n FROM far, p, p r WHERE CAST(d AS INT) = p.s AND p.s = r.s"  # another join may drop the row first
+    assert "not a column" in " ".join(e.explain(three))
+
+
 def test_wide_values(spark):
     e = Engine(spark, mode="force")
     e.register("w", spark.createDataFrame([(1, "99469559132272.5965"), (1, "-0.0001"), (2, "1.0000"), (2, "2.0001")], "k int, s string").selectExpr("k", "CAST(s AS DECIMAL(20,4)) AS v"))
